@@ -16,6 +16,24 @@ def tokenizer_file(name: str, folder: str = TOKENIZERS) -> str:
     return f"{folder}/{name}"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aspectra.llm.toxicity import detect
+
+    return detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aspectra.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aspectra.llm.media import media_features, store_column
+
+    return media_features(store_column(table(spark, sf_dir, "documents")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aspectra.llm.packing import pack_documents
 
@@ -29,7 +47,7 @@ def op9_rans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_packing, op9_rans_output)}
+    return {f.__name__: f for f in (op1_toxicity, op6_packing, op7_language, op8_matroska, op9_rans_output)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,6 +34,12 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store_column(table(spark, sf_dir, "documents")))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aspectra.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aspectra.llm.packing import pack_documents
 
@@ -47,7 +53,7 @@ def op9_rans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op6_packing, op7_language, op8_matroska, op9_rans_output)}
+    return {f.__name__: f for f in (op1_toxicity, op4_minhash, op6_packing, op7_language, op8_matroska, op9_rans_output)}
 
 
 def oracle_sql() -> dict[str, str]:

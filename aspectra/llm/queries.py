@@ -34,12 +34,24 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store_column(table(spark, sf_dir, "documents")))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aspectra.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aspectra.llm.near_duplicates import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aspectra.llm.embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aspectra.llm.packing import pack_documents
 
@@ -52,8 +64,14 @@ def op9_rans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aspectra.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_minhash, op6_packing, op7_language, op8_matroska, op9_rans_output)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op4_minhash, op5_pivot_index, op6_packing, op7_language, op8_matroska, op9_rans_output, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

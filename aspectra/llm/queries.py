@@ -40,6 +40,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aspectra.llm.bpe import digest_documents
+
+    return digest_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aspectra.llm.near_duplicates import near_duplicates
 
@@ -71,7 +77,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op4_minhash, op5_pivot_index, op6_packing, op7_language, op8_matroska, op9_rans_output, op10_secrets)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_bpe, op4_minhash, op5_pivot_index, op6_packing, op7_language, op8_matroska, op9_rans_output, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aspectra.plans import q_catalog, q_evaluation, q_profiles  # noqa: F401  they register their queries
+from aspectra.plans import q_catalog, q_evaluation, q_profiles, q_text  # noqa: F401  they register their queries
 from aspectra.plans.registry import ORACLES, QUERIES
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +69,23 @@ def crc_fold(doc_id: Column | str, modulus: int) -> Column:
     """crc32(doc_id as text) mod ``modulus``."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(column.cast("string").cast("binary")) % modulus
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows that come sorted by ``keys``; only the last group is held back."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        same = np.ones(held.num_rows, bool)
+        for key in keys:
+            column = held.column(key).to_numpy()
+            same &= column == column[-1]
+        cut = int(np.argmax(same))
+        if cut:
+            yield held.slice(0, cut).combine_chunks()
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()

@@ -108,3 +108,21 @@ def assert_no_leakage(rows: DataFrame, key: str) -> None:
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
+
+
+def compose_benchmark(pairs: DataFrame, size: int, seed: int, strip: bool = False) -> DataFrame:
+    """Pseudo-reviews of ``size`` texts with different aspects, from (review_id, text, aspect, polarity).
+
+    Rows of each aspect are numbered in a hash's order; those of one number come
+    together, the aspects by hash. No pairs are formed.
+    """
+    order = F.md5(F.concat(F.col("review_id"), F.lit(f"|{seed}")).cast("binary"))
+    single = pairs.withColumn("_n", F.count("*").over(Window.partitionBy("review_id"))).where("_n = 1")
+    numbered = single.withColumn("row", F.row_number().over(Window.partitionBy("aspect").orderBy(order, "review_id")))
+    mixed = numbered.withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy(F.md5(F.concat_ws("|", "aspect", F.col("row").cast("string"), F.lit(str(seed))).cast("binary")), "aspect")))
+    groups = mixed.withColumn("part", F.floor((F.col("place") - 1) / size))
+    text = F.rtrim("text")
+    ended = F.regexp_replace(text, "[.!? ]+$", "") if strip else F.when(F.substring(text, -1, 1).isin(".", "!", "?"), text).otherwise(F.concat(text, F.lit(".")))
+    made = groups.withColumn("said", ended).groupBy("row", "part").agg(F.array_sort(F.collect_list(F.struct("place", "said", "aspect", "polarity", "review_id"))).alias("x"))
+    gold = F.map_from_entries(F.transform("x", lambda r: F.struct(r["aspect"], r["polarity"])))
+    return made.where(F.size("x") == size).select(F.concat_ws("-", "row", "part").alias("id"), F.array_join(F.transform("x", lambda r: r["said"]), " ").alias("text"), gold.alias("gold"), F.transform("x", lambda r: r["review_id"]).alias("source_ids"))

@@ -4,7 +4,7 @@ Every token (run of letters, without case) has a score: the log-odds that a
 document with it is toxic, less a drift, so that clean text sinks. The odds have
 nested Dirichlet priors: the corpus's for a token's first letters, theirs for
 its first few more, and so on to the token itself. One linear scan over a text finds all maximal scoring segments
-(Ruzzo and Tompa). Best segments of clean text follow an extreme-value law; its
+(Ruzzo and Tompa); a token counts at its first place in a text. Best segments of clean text follow an extreme-value law; its
 two parameters, fitted on clean training texts, give each segment a p-value
 for the text's length. A document's passages are those that are significant;
 the p-value of its best one and the sum over all of them enter a logistic
@@ -202,13 +202,25 @@ def document_scores(model: Model, texts: list[str | None]) -> Iterator[tuple[int
         for k, number in enumerate(numbers):
             if number != last:
                 if waiting:
-                    yield last, *(np.concatenate(x) for x in zip(*waiting))
+                    yield last, *_once(*(np.concatenate(x) for x in zip(*waiting)))
                 waiting, offset, last = [], 0, number
             own = slice(edges[k], edges[k + 1])
-            waiting.append((scores[own], runs.begin[own] + offset, runs.end[own] + offset))
+            waiting.append((scores[own], runs.begin[own] + offset, runs.end[own] + offset, runs.hashes[own]))
             offset += len(parts[k])
     if waiting:
-        yield last, *(np.concatenate(x) for x in zip(*waiting))
+        yield last, *_once(*(np.concatenate(x) for x in zip(*waiting)))
+
+
+def _once(scores: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A token that speaks for toxicity does so at its first place; a text that repeats it says no more."""
+    at = np.flatnonzero(scores > 0)
+    if len(at):
+        first = np.unique(hashes[at], return_index=True)[1]
+        again = np.ones(len(at), bool)
+        again[first] = False
+        scores = scores.copy()
+        scores[at[again]] = -DRIFT
+    return scores, begin, end
 
 
 def _counted(sample: DataFrame) -> DataFrame:
@@ -305,7 +317,7 @@ def _calibrate(model: Model, sample: DataFrame, sizes: dict[int, int]) -> None:
     y = found.toxic.to_numpy(float)
     shares = {k: sizes[k] / max(1, (y == k).sum()) for k in (0, 1)}
     w = np.where(y == 1, shares[1], shares[0])
-    w *= len(w) / w.sum()
+    w *= len(w) / max(1e-9, w.sum())
     beta = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))

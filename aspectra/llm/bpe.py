@@ -266,7 +266,8 @@ def joined(docs: DataFrame, path: str, digest: bool) -> DataFrame:
 
 def _stored(docs: DataFrame) -> DataFrame:
     """Rows that come straight from files; others are written first, so that blocks have names."""
-    from_files = bool(docs.inputFiles()) and "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    from_files = "FileScan" in plan and "Exchange" not in plan
     return docs if from_files else written(docs.select("doc_id", "text"), "documents")
 
 

@@ -76,6 +76,17 @@ def test_long_lists_of_unrelated_documents_are_divided(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == roots_of(len(texts), edges)
 
 
+def test_ids_that_stand_for_several_texts(spark):
+    """Null and repeated ids: classes are verified on their own texts."""
+    rng = random.Random(8)
+    base = [[f"{k}{rng.randrange(10**6)}" for _ in range(150)] for k in "abc"]
+    rows = [(None, " ".join(b)) for b in base] + [(None, " ".join(b[:-1] + ["end"])) for b in base] + [(7, " ".join(base[0])), (7, " ".join(base[1]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = near_duplicates.near_duplicates(df, 4).collect()
+    assert len(made) == 8
+    assert {(r.doc_id, r.component_id) for r in made} == {(None, 7), (None, None), (7, 7)}
+
+
 def test_one_of_each_stays(spark):
     df = docs_of(spark, ["a b c d e f g h", "a b c d e f g h", "other words altogether here now", None, ""])
     df = df.unionByName(df.where("doc_id = 0")).unionByName(df.where("doc_id = 0").selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars", "cls"))

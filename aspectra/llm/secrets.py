@@ -41,7 +41,7 @@ ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z0-9]+|amqps?|redis|mongodb)://[^\s"'<>]+|
 KINDS = (("assign", 0, ASSIGN, "secret"), ("access", 1, ACCESS, "id"), ("hex", 2, HEX, "secret"), ("weak_id", 3, WEAK_ID, "id"), ("weak_secret", 4, WEAK_SECRET, "secret"), ("endpoint", 5, ENDPOINT, "endpoint"))
 #: Class of a weak candidate: class that must be near.
 NEEDS = {"id": "secret", "secret": "id", "endpoint": "secret"}
-ANY = "|".join(f"(?:{p})" for _, _, p, _ in KINDS)
+MARKED = "|".join(f"(?:{p})" for p in (ASSIGN, WEAK_ID, ENDPOINT))
 SPAN = "struct<start:int,ord:int,end:int,kind:string>"
 
 
@@ -82,9 +82,15 @@ def _listed(spans: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with the digest of those texts that have any match."""
+    """Rows with the digest of those texts that can have a span.
+
+    All kinds but two need ``=`` or ``:``, and a weak secret without any such
+    part is never linked, so most texts are told by two short searches.
+    """
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("_digest", F.when(text.rlike(ANY), F.sha2(text.cast("binary"), 256)))
+    marked = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(MARKED)
+    found = F.contains(text, F.lit("AKIA")) | marked | text.rlike(HEX)
+    return docs.withColumn("_digest", F.when(found, F.sha2(text.cast("binary"), 256)))
 
 
 def _apart(id_: Column) -> Column:
@@ -112,7 +118,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """All rows, with every span of their texts replaced by ``mark`` and ``n_chars`` counted anew."""
     columns = docs.columns
-    hits = _keyed(docs.select("text")).where("_digest is not null").groupBy(F.col("_digest").alias("digest")).agg(F.first("text").alias("text"))
+    keyed = written(_keyed(docs), "secret-keyed")  # texts are searched once
+    hits = keyed.select("text", "_digest").where("_digest is not null").groupBy(F.col("_digest").alias("digest")).agg(F.first("text").alias("text"))
     texts = written(hits, "secret-distinct")
     found = spans_of(texts)
     order = Window.partitionBy("digest").orderBy("start", "end")
@@ -125,7 +132,6 @@ def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     pieces = F.transform(edges, lambda e: F.col("text").substr(e["a"] + 1, e["b"] - e["a"]))
     clean = written(cut.select("digest", F.array_join(pieces, mark).alias("_clean")), "secret-clean")
     # only rows with a match meet the cleaned texts
-    keyed = _keyed(docs)
     rest = keyed.where("_digest is null").select(*columns)
     hit = keyed.where("_digest is not null").join(clean, F.col("_digest") == F.col("digest"), "left")
     text = F.coalesce("_clean", "text")

@@ -212,14 +212,13 @@ def document_scores(model: Model, texts: list[str | None]) -> Iterator[tuple[int
 
 
 def _once(scores: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A token that speaks for toxicity does so at its first place; a text that repeats it says no more."""
+    """Each token that speaks for toxicity at its first place only: a text that repeats it says no more, and is no longer."""
     at = np.flatnonzero(scores > 0)
     if len(at):
-        first = np.unique(hashes[at], return_index=True)[1]
-        again = np.ones(len(at), bool)
-        again[first] = False
-        scores = scores.copy()
-        scores[at[again]] = -DRIFT
+        kept = np.ones(len(scores), bool)
+        kept[at] = False
+        kept[at[np.unique(hashes[at], return_index=True)[1]]] = True
+        scores, begin, end = scores[kept], begin[kept], end[kept]
     return scores, begin, end
 
 

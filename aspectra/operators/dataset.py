@@ -110,6 +110,23 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def aspect_sets(pairs: DataFrame) -> DataFrame:
+    """(review_id, aspects): each review's sorted aspect set, from all its rows."""
+    return pairs.groupBy("review_id").agg(F.array_sort(F.collect_set("aspect")).alias("aspects"))
+
+
+def disjoint_sets(sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, pairs): aspect sets without a common aspect, each two once, and how many reviews have them.
+
+    A pair of reviews is disjoint exactly if its sets are: joined with the
+    members, the rows give every pair, and none is formed here.
+    """
+    sizes = sets.groupBy("aspects").agg(F.count("*").alias("n"))
+    a, b = (sizes.select(F.col("aspects").alias(c), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+    # of the sets of k aspects there are fewer than 2**k, whatever the number of reviews
+    return a.join(F.broadcast(b), (F.col("a") < F.col("b")) & ~F.arrays_overlap("a", "b")).withColumn("pairs", F.col("n_a") * F.col("n_b"))
+
+
 def compose_benchmark(pairs: DataFrame, size: int, seed: int, strip: bool = False) -> DataFrame:
     """Pseudo-reviews of ``size`` texts with different aspects, from (review_id, text, aspect, polarity).
 

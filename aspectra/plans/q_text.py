@@ -238,12 +238,28 @@ def dataset_stats(t: Tables) -> DataFrame:
 
 @query(sql("pairs", "WITH s AS (SELECT review_id, list_sort(list(DISTINCT aspect)) AS aspects FROM pairs WHERE position%40=0 GROUP BY 1) SELECT a.review_id AS a, b.review_id AS b FROM s a JOIN s b ON a.review_id<b.review_id AND left(a.review_id,2)=left(b.review_id,2) AND NOT list_has_any(a.aspects,b.aspects)"))
 def disjoint_pairs(t: Tables) -> DataFrame:
-    """Pairs of reviews of neighbouring products without a common aspect; the benchmark takes every 40th row as its feature."""
+    """A sample: pairs within blocks of two first characters, over aspects of every 40th row only, as its twin has it; :func:`disjoint_sets` covers all rows and pairs."""
     s = t.pairs.where("position % 40 = 0").groupBy("review_id").agg(F.collect_set("aspect").alias("aspects")).withColumn("block", F.substring("review_id", 1, 2))
     b = s.select(F.col("review_id").alias("b"), F.col("aspects").alias("other"), "block")
     return s.join(b, "block").where((F.col("review_id") < F.col("b")) & ~F.arrays_overlap("aspects", "other")).select(F.col("review_id").alias("a"), "b")
 
 
+_SETS = "s AS (SELECT review_id, array_to_string(list_sort(list(DISTINCT aspect)),'|') AS aspects FROM pairs GROUP BY 1)"
+
+
+@query(sql("pairs", f"WITH {_SETS} SELECT review_id, aspects FROM s"))
+def aspect_sets(t: Tables) -> DataFrame:
+    """Every review's aspect set, from all its rows: the members of the sets of :func:`disjoint_sets`."""
+    return D.aspect_sets(t.pairs).select("review_id", F.array_join("aspects", "|").alias("aspects"))
+
+
+@query(sql("pairs", f"WITH {_SETS}, g AS (SELECT aspects, count(*) AS n FROM s GROUP BY 1) SELECT a.aspects AS a, b.aspects AS b, a.n AS n_a, b.n AS n_b, a.n*b.n AS pairs FROM g a JOIN g b ON a.aspects<b.aspects AND NOT list_has_any(string_split(a.aspects,'|'),string_split(b.aspects,'|'))"))
+def disjoint_sets(t: Tables) -> DataFrame:
+    """All pairs of reviews without a common aspect, by their aspect sets."""
+    out = D.disjoint_sets(D.aspect_sets(t.pairs))
+    return out.select(F.array_join("a", "|").alias("a"), F.array_join("b", "|").alias("b"), "n_a", "n_b", "pairs")
+
+
 @query("SELECT item_id, CASE WHEN right(x,1) IN ('.','!','?') THEN x ELSE x||'.' END||' Next.' AS composed, rtrim(x,'.!? ')||' next' AS stripped FROM (SELECT item_id, rtrim(text) AS x FROM benchmark)")
 def compose_text(t: Tables) -> DataFrame:
     """Terminators added, or stripped, to compose texts."""

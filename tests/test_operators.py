@@ -122,3 +122,18 @@ def test_absent_classes_stay_in_the_matrix(spark):
     m = evaluation.confusion(df, 3)
     assert m.count() == 9
     assert [r.f1 for r in evaluation.class_metrics(m).orderBy("label").collect()][2] == 0.0
+
+
+def test_disjoint_sets_cover_all_rows_and_pairs(spark):
+    """Against all pairs: reviews of different blocks, and a common aspect on a row that is no 40th one."""
+    data = [("10-a", "price", 0), ("10-b", "battery", 40), ("10-b", "price", 41), ("20-c", "camera", 3), ("20-c", "camera", 5), ("30-d", "battery", 7), ("30-e", "battery", 80)]
+    said = spark.createDataFrame(data, "review_id string, aspect string, position long")
+    sets = dataset.aspect_sets(said)
+    members = {r.review_id: r.aspects for r in sets.collect()}
+    of = lambda s: {i for i, own in members.items() if own == s}
+    rows = dataset.disjoint_sets(sets).collect()
+    got = {tuple(sorted((x, y))) for r in rows for x in of(r.a) for y in of(r.b)}
+    brute = {i: {a for j, a, _ in data if j == i} for i, *_ in data}
+    assert got == {(x, y) for x in brute for y in brute if x < y and not brute[x] & brute[y]}
+    assert sum(r.pairs for r in rows) == len(got)
+    assert ("10-a", "20-c") in got and ("10-a", "10-b") not in got

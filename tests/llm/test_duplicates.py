@@ -139,3 +139,30 @@ def test_recall_on_the_given_vectors(spark):
     exact = (v @ v.T >= 0.9).sum() - len(v)
     found = sum(r.n_links for r in embeddings.near_vectors(df).collect())
     assert found <= exact and found >= 0.97 * exact
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def pairs_at(cosine, n, rng):
+    a, b = unit(rng.normal(size=(n, 64))), rng.normal(size=(n, 64))
+    return a, cosine * a + (1 - cosine**2) ** 0.5 * unit(b - (a * b).sum(1, keepdims=True) * a)
+
+
+@pytest.mark.parametrize("pivots", [155, 161, 321, 640, 1024, 2048, 4096])
+def test_pairs_at_the_threshold_meet_at_any_pivot_count(pivots):
+    rng = np.random.default_rng(pivots)
+    reference = unit(rng.normal(size=(pivots, 64)))
+    x, y = (embeddings.nearest(v, reference) for v in pairs_at(0.9, 2000, rng))
+    assert ((x[:, :, None] == y[:, None, :]).any(2).sum(1) >= 2).mean() >= 0.975
+
+
+def test_links_at_the_threshold_with_many_pivots(spark):
+    rng = np.random.default_rng(11)
+    a, b = pairs_at(0.901, 1000, rng)
+    rows = np.concatenate([a, b, unit(rng.normal(size=(8000, 64)))])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df, pivot_count=2048).collect()}
+    assert sum(got.values()) <= 2000 + 2
+    assert sum(got[i] for i in range(2000)) >= 0.975 * 2000

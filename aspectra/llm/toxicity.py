@@ -4,7 +4,8 @@ Every token (run of letters, without case) has a score: the log-odds that a
 document with it is toxic, less a drift, so that clean text sinks. The odds have
 nested Dirichlet priors: the corpus's for a token's first letters, theirs for
 its first few more, and so on to the token itself. One linear scan over a text finds all maximal scoring segments
-(Ruzzo and Tompa); a token counts at its first place in a text. Best segments of clean text follow an extreme-value law; its
+(Ruzzo and Tompa); a token's repeats within a segment add nothing to the
+segment's score. Best segments of clean text follow an extreme-value law; its
 two parameters, fitted on clean training texts, give each segment a p-value
 for the text's length. A document's passages are those that are significant;
 the p-value of its best one and the sum over all of them enter a logistic
@@ -42,7 +43,8 @@ REMEMBERED = 1_000_000
 DRIFT = 0.8
 STRENGTH = 4.0
 SIGNIFICANT = 0.01
-SCORED = "doc_id long, score double, n_passages int, first_char long, end_char long, best_p double"
+SPANS = "array<struct<first_char: long, end_char: long, p: double>>"
+SCORED = f"doc_id long, score double, n_passages int, first_char long, end_char long, best_p double, passages {SPANS}"
 
 
 class Runs:
@@ -98,6 +100,32 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, high - low) for s, e, low, high, _ in found]
 
 
+def damped(scores: np.ndarray, hashes: np.ndarray) -> tuple[list[tuple[int, int, float]], int]:
+    """All maximal segments of the whole text, scored without repeats within each, and the text's length without these.
+
+    A segment's score is the best sum in it once repeats of a token with a
+    positive score count nothing; segments don't take from each other.
+    """
+    found = segments(scores)
+    at = np.flatnonzero(scores > 0)
+    if len(at) < 2:
+        return found, len(scores)
+    starts = np.array([a for a, _, _ in found])
+    owner = np.searchsorted(starts, at, "right")  # every positive score stands in a segment
+    order = np.lexsort((at, hashes[at], owner))
+    same = (owner[order][1:] == owner[order][:-1]) & (hashes[at][order][1:] == hashes[at][order][:-1])
+    again = at[order[1:][same]]
+    if not len(again):
+        return found, len(scores)
+    once = scores.copy()
+    once[again] = 0.0
+    for k in np.unique(np.searchsorted(starts, again, "right") - 1).tolist():
+        a, b, _ = found[k]
+        total = np.concatenate(([0.0], np.cumsum(once[a:b])))
+        found[k] = (a, b, float((total - np.minimum.accumulate(total)).max()))
+    return found, len(scores) - len(again)
+
+
 @dataclass
 class Model:
     """Log-odds of units by hash for each kind, the extreme-value law of clean text, and the logistic curve."""
@@ -154,18 +182,16 @@ class Model:
         """Chance that clean text of n tokens has a segment as good."""
         return float(-np.expm1(-np.exp(np.clip(self.shift + np.log(max(n, 1)) - self.scale * best, -700, 50))))
 
-    def document(self, scores: np.ndarray, place: np.ndarray | None = None, ends: np.ndarray | None = None) -> tuple[list[float], int, int, int, float]:
-        """Features, significant passages, the best one's place in the text, and its p-value."""
-        n = len(scores)
-        found = segments(scores)
+    def document(self, scores: np.ndarray, hashes: np.ndarray) -> tuple[list[float], list[tuple[float, int, int]], float]:
+        """Features, the significant passages (p-value, first and last token plus one) in the text's order, and the best p-value."""
+        found, n = damped(scores, hashes)
         if not found:
-            return [0.0, 0.0, np.log1p(n)], 0, -1, -1, 1.0
+            return [0.0, 0.0, np.log1p(n)], [], 1.0
         values = [(self.p_value(s, n), a, b) for a, b, s in found]
-        best = min(values)
-        strong = [p for p, _, _ in values if p <= SIGNIFICANT]
-        mass = sum(min(50.0, -np.log(max(p, 1e-300))) for p in strong)
-        where = (-1, -1) if place is None or not strong else (int(place[best[1]]), int(ends[best[2] - 1]))
-        return [min(50.0, -np.log(max(best[0], 1e-300))), np.log1p(mass), np.log1p(n)], len(strong), *where, best[0]
+        best = min(values)[0]
+        strong = [v for v in values if v[0] <= SIGNIFICANT]
+        mass = sum(min(50.0, -np.log(max(p, 1e-300))) for p, _, _ in strong)
+        return [min(50.0, -np.log(max(best, 1e-300))), np.log1p(mass), np.log1p(n)], strong, best
 
     def score(self, features: list[float]) -> float:
         if self.constant is not None:
@@ -191,8 +217,8 @@ def _batches(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
         yield numbers, parts
 
 
-def document_scores(model: Model, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text number, token scores, starts, ends) of each text; places count in the text without case."""
+def document_scores(model: Model, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text number, token scores, starts, ends, hashes) of each text; places count in the text without case."""
     waiting: list[tuple] = []
     offset, last = 0, -1
     for numbers, parts in _batches(texts):
@@ -202,24 +228,13 @@ def document_scores(model: Model, texts: list[str | None]) -> Iterator[tuple[int
         for k, number in enumerate(numbers):
             if number != last:
                 if waiting:
-                    yield last, *_once(*(np.concatenate(x) for x in zip(*waiting)))
+                    yield last, *(np.concatenate(x) for x in zip(*waiting))
                 waiting, offset, last = [], 0, number
             own = slice(edges[k], edges[k + 1])
             waiting.append((scores[own], runs.begin[own] + offset, runs.end[own] + offset, runs.hashes[own]))
             offset += len(parts[k])
     if waiting:
-        yield last, *_once(*(np.concatenate(x) for x in zip(*waiting)))
-
-
-def _once(scores: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token that speaks for toxicity at its first place only: a text that repeats it says no more, and is no longer."""
-    at = np.flatnonzero(scores > 0)
-    if len(at):
-        kept = np.ones(len(scores), bool)
-        kept[at] = False
-        kept[at[np.unique(hashes[at], return_index=True)[1]]] = True
-        scores, begin, end = scores[kept], begin[kept], end[kept]
-    return scores, begin, end
+        yield last, *(np.concatenate(x) for x in zip(*waiting))
 
 
 def _counted(sample: DataFrame) -> DataFrame:
@@ -289,9 +304,9 @@ def _features(model: Model, sample: DataFrame, columns: str) -> DataFrame:
         own = sent.value
         for batch in batches:
             rows = []
-            for _, scores, _, _ in document_scores(own, batch.column(0).to_pylist()):
-                best = max((s for *_, s in segments(scores)), default=0.0)
-                rows.append((best, len(scores), *own.document(scores)[0]))
+            for _, scores, _, _, hashes in document_scores(own, batch.column(0).to_pylist()):
+                found, n = damped(scores, hashes)
+                rows.append((max((s for *_, s in found), default=0.0), n, *own.document(scores, hashes)[0]))
             values = [pa.array(c, pa.float64()) for c in (zip(*rows) if rows else [[]] * 5)]
             yield pa.RecordBatch.from_arrays([*values, batch.column(1)], ["best", "n", "x1", "x2", "x3", "toxic"])
 
@@ -327,19 +342,22 @@ def _calibrate(model: Model, sample: DataFrame, sizes: dict[int, int]) -> None:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Score, number of significant passages and the best one's place, for every whole text."""
+    """Score, number of significant passages, the best one's place, and the places of all, for every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        types = (pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+        span = pa.struct([("first_char", pa.int64()), ("end_char", pa.int64()), ("p", pa.float64())])
+        types = (pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(span))
         for batch in batches:
             rows = []
-            for _, scores, begin, end in document_scores(own, batch.column(1).to_pylist()):
-                features, passages, first, last, p = own.document(scores, begin, end)
-                rows.append((own.score(features), passages, first, last, p))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "score", "n_passages", "first_char", "end_char", "best_p"])
+            for _, scores, begin, end, hashes in document_scores(own, batch.column(1).to_pylist()):
+                features, strong, p = own.document(scores, hashes)
+                spans = [{"first_char": int(begin[a]), "end_char": int(end[b - 1]), "p": q} for q, a, b in strong]
+                best = min(spans, key=lambda x: (x["p"], x["first_char"]), default={"first_char": -1, "end_char": -1})
+                rows.append((own.score(features), len(spans), best["first_char"], best["end_char"], p, spans))
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "score", "n_passages", "first_char", "end_char", "best_p", "passages"])
 
     return arrow_map(docs.select("doc_id", "text"), judge, SCORED)
 
@@ -349,7 +367,7 @@ def detect(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     model = fit(docs, labels, crc_fold("doc_id", folds) != 0)
     out = score(docs, model)
     held = F.coalesce(crc_fold("doc_id", folds) == 0, F.lit(False)).alias("held_out")
-    return out.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "first_char", "end_char", "best_p")
+    return out.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "first_char", "end_char", "best_p", "passages")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.5) -> DataFrame:
@@ -361,7 +379,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: fl
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            clean = [own.score(own.document(scores)[0]) < threshold for _, scores, _, _ in document_scores(own, batch.column(at).to_pylist())]
+            clean = [own.score(own.document(scores, hashes)[0]) < threshold for _, scores, _, _, hashes in document_scores(own, batch.column(at).to_pylist())]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return arrow_map(docs, keep, docs.schema)

@@ -69,6 +69,41 @@ def test_toxic_texts_are_told_apart(spark):
     assert toxicity.detect(df.limit(0), truth).count() == 0
 
 
+def test_repeats_elsewhere_take_nothing_from_a_passage(spark):
+    texts, labels = corpus()
+    rng = random.Random(5)
+    filler = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    dense = "vilrat scumbo trasho"
+    apart = " ".join(f"{filler(200)} {w}" for w in dense.split())
+    late = f"{apart} {filler(300)} {dense} {filler(100)}"
+    twice = f"{filler(60)} {dense} {filler(60)} {dense} {filler(60)}"
+    truth = spark.createDataFrame([(i, 1, y) for i, y in enumerate(labels)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.detect(docs_of(spark, [*texts, late, twice]), truth).collect()}
+    n = len(texts)
+    cut = lambda text, r: [text[p.first_char : p.end_char] for p in r.passages]
+    assert dense in cut(late, got[n]) and late[got[n].first_char : got[n].end_char] == dense and got[n].predicted == 1
+    assert cut(twice, got[n + 1]) == [dense, dense] and got[n + 1].n_passages == 2
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_damped_segments_are_those_of_the_whole_text(seed):
+    """Against brute force: the same places, and the best sum in each with repeats at zero."""
+    rng = np.random.default_rng(seed)
+    hashes = rng.integers(0, 6, 40).astype(np.uint64)
+    scores = rng.normal(0.2, 1.5, 6)[hashes.astype(int)]
+    got, n = toxicity.damped(scores, hashes)
+    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in toxicity.segments(scores)]
+    gone = 0
+    for a, b, s in got:
+        seen, own = set(), []
+        for x, h in zip(scores[a:b], hashes[a:b].tolist()):
+            gone += x > 0 and h in seen
+            own.append(0.0 if x > 0 and h in seen else x)
+            seen.add(h)
+        assert s == pytest.approx(max(sum(own[i:j]) for i in range(b - a) for j in range(i + 1, b - a + 1)))
+    assert n == len(scores) - gone
+
+
 def test_one_class_alone(spark):
     truth = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "doc_id long, toxic int")
     assert {r.score for r in toxicity.detect(docs_of(spark, ["a b", "c", None]), truth).collect()} == {0.0}

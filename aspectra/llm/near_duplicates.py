@@ -6,9 +6,9 @@ exact copies cost one row. Runs of consecutive sketch values are the entries of
 an inverted index: where two sets are similar, some run of the union's smallest
 values is common to both, and then stands as a run in both sketches. Runs are
 of four values (three in small sets, two in the smallest), which keeps apart
-documents that share only a passage. For a set that lies whole in its sketch a
-common run is certain at a similarity of 0.8; for larger ones it is missed with
-a probability of about 0.8**k at exactly 0.8 and less above.
+documents that share only a passage. For sets that lie whole in their sketches
+two common runs are certain at a similarity of 0.8; for larger ones they are
+missed with a probability of about 3e-7 at exactly 0.8 and less above.
 
 Within a list every member is paired with one pivot, the sketches of each pair
 estimate its similarity over the union's smallest values, and what may reach
@@ -16,8 +16,9 @@ the threshold is verified on full sets. Lists whose members then lie in several
 components are open: stragglers outside the list's largest component are
 compared with all its members, in blocks that get each set once and return
 links to components, not pairs. A long open list of unrelated documents is
-first divided by a second run. So a group of copies costs one comparison a
-member, and no link between members of a list is lost. Components are found in
+first divided by a second run, which similar sets share as well. So a group of
+copies costs one comparison a member, and no link between members of a list is
+lost. Components are found in
 Spark.
 
 Defined results: null or empty text, or text of white space, has no shingle, is
@@ -153,8 +154,9 @@ def run_keys(sketch: Column, n: Column) -> Column:
         return F.when(last >= 1, keys).otherwise(F.array().cast("array<bigint>"))
 
     none = F.array().cast("array<bigint>")
-    # with d of n values apart, n - d common ones lie in d + 1 runs: three in one from a union of 6 on, four from 16 on
-    return F.array_distinct(F.concat(F.when(n >= 13, runs(4)).otherwise(none), F.when((n >= 5) & (n <= 20), runs(3)).otherwise(none), F.when((n >= 4) & (n <= 5), runs(2)).otherwise(none)))
+    # with d of n values apart, n - d common ones lie in d + 1 runs: three in one from a union of 6 on, four from 16 on.
+    # Long lists are divided by a second key, so each two similar sets share two: sets of 5 and 6 by their runs of two
+    return F.array_distinct(F.concat(F.when(n >= 13, runs(4)).otherwise(none), F.when((n >= 5) & (n <= 20), runs(3)).otherwise(none), F.when((n >= 4) & (n <= 6), runs(2)).otherwise(none)))
 
 
 def similar_sizes(a: str, b: str, percent: int) -> Column:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.helpers import ODD, docs_of
 
 from aspectra.llm import components, embeddings, near_duplicates
@@ -76,6 +77,40 @@ def test_long_lists_of_unrelated_documents_are_divided(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == roots_of(len(texts), edges)
 
 
+def test_links_of_small_sets_survive_a_division(spark, monkeypatch):
+    """Sets of 5 and 6 values that share one run of three, in a list of unrelated ones with it."""
+    monkeypatch.setattr(near_duplicates, "LONG_LIST", 6)
+    run, left, right = [50, 60, 70], [10, 20], [80, 90]
+    rows = [(100, [10, 20, *run], None), (101, [10, 20, 40, *run], None), (102, [*run, 80, 90], None), (103, [*run, 75, 80, 90], None)]
+    rows += [(i, [1000 + 10 * i, 1001 + 10 * i], None) for i in range(20)]
+    sets = [(i, sorted([*run, *own]) if i < 100 else sorted(own)) for i, own, _ in rows]
+    classes = spark.createDataFrame([(i, i, len(x), x) for i, x in sets], "cls long, first_id long, n_shingles long, sketch array<long>")
+    monkeypatch.setattr(near_duplicates.Search, "sets_of", lambda self, ids: classes.select("cls", F.col("sketch").alias("shingles")).join(ids, "cls", "left_semi"))
+    roots = {r.a: r.root for r in near_duplicates.Search(classes, classes, 4, 80, 80).run().collect()}
+    edges = [(i, j) for (i, x), (j, y) in itertools.combinations(sets, 2) if 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})]
+    assert edges == [(100, 101), (102, 103)]
+    assert roots == {101: 100, 103: 102}
+
+
+def test_similar_sets_share_two_keys(spark):
+    """Whole sets at the threshold, with the values apart where they leave the fewest common runs."""
+    rows = []
+    for union in range(5, 81):
+        for apart in range(1, union // 5 + 1):
+            parts = np.array_split(np.arange(union - apart), apart + 1)
+            line = []  # common values, and one apart between each two parts
+            for k, part in enumerate(parts):
+                line += [("c", x) for x in part] + ([("d", k)] if k < apart else [])
+            for own in range(apart + 1):  # how many of those apart are the first set's
+                a = [i for i, (kind, k) in enumerate(line) if kind == "c" or k < own]
+                b = [i for i, (kind, k) in enumerate(line) if kind == "c" or k >= own]
+                if min(len(a), len(b)) >= 4:
+                    rows.append((a, b))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    keys = [near_duplicates.run_keys(F.col(c), F.size(c)) for c in ("a", "b")]
+    assert df.agg(F.min(F.size(F.array_intersect(*keys)))).first()[0] >= 2
+
+
 def test_ids_that_stand_for_several_texts(spark):
     """Null and repeated ids: classes are verified on their own texts."""
     rng = random.Random(8)

@@ -20,6 +20,8 @@ EVIDENCE_MIN_CHARS, EVIDENCE_PER_PRODUCT, EVIDENCE_SEPARATOR, EVIDENCE_CAP = 20,
 UNIT_MIN_WORDS, UNIT_MAX_WORDS, REVIEW_CHARS = 3, 60, 5000
 WEIGHT_FLOOR, DETECTION_THRESHOLD, CONFIDENT = 1e-6, 0.5, 0.7
 ECE_BINS = 10
+# Resampling.
+BOOTSTRAP_DRAWS, SPLIT_REPEATS = 5000, 25
 # Tie order of a majority vote.
 VOTE_ORDER = ("neutral", "negative", "positive")
 SPLIT_PRIORITY = ("test", "dev", "train")

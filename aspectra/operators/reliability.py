@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aspectra.constants import SPLIT_REPEATS
 from aspectra.functions.scores import hash_uniform
 from aspectra.operators.profiles import cell_means
 
@@ -29,7 +30,7 @@ def star_baseline(facts: DataFrame, floor: int) -> DataFrame:
     return agreement(means.join(stars, "model_key")).withColumn("r_squared", F.col("pearson") * F.col("pearson"))
 
 
-def split_half(facts: DataFrame, floor: int, repeats: int) -> DataFrame:
+def split_half(facts: DataFrame, floor: int, repeats: int = SPLIT_REPEATS) -> DataFrame:
     """Random halves of each cell, ``repeats`` times; halves follow a hash, so every run draws the same."""
     cell = Window.partitionBy("model_key", "aspect", "i")
     drawn = facts.select("model_key", "aspect", "review_id", "score", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("i"))

@@ -150,6 +150,13 @@ def paired_bootstrap(t: Tables) -> DataFrame:
     return out.select(*(r6(c).alias(c) for c in ("lower", "upper", "mean_diff")), "draws", "verdict")
 
 
+@query()
+def paired_bootstrap_full(t: Tables) -> DataFrame:
+    """The interval from as many draws as the reference has; :func:`paired_bootstrap` has its twin's 50."""
+    ok = t.predictions.select((F.col("pred_a") == F.col("y")).cast("int").alias("ok_a"), (F.col("pred_b") == F.col("y")).cast("int").alias("ok_b"))
+    return E.interval(E.bootstrap_counts(ok)).select(*(r6(c).alias(c) for c in ("lower", "upper", "mean_diff")), "draws", "verdict")
+
+
 @query(sql("preds", "SELECT label, n, round((1e0/n)/avg(1e0/n) OVER (),6) AS weight FROM (SELECT CAST(y AS INTEGER) AS label, count(*) AS n FROM preds GROUP BY 1)"))
 def class_weights(t: Tables) -> DataFrame:
     return E.class_weights(t.predictions, "y").select("label", "n", r6("weight").alias("weight"))

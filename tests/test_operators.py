@@ -137,3 +137,23 @@ def test_disjoint_sets_cover_all_rows_and_pairs(spark):
     assert got == {(x, y) for x in brute for y in brute if x < y and not brute[x] & brute[y]}
     assert sum(r.pairs for r in rows) == len(got)
     assert ("10-a", "20-c") in got and ("10-a", "10-b") not in got
+
+
+def test_resampling_is_whole(spark):
+    """The reference's numbers of draws and repeats, and its interval by numpy."""
+    import numpy as np
+
+    from aspectra.operators import reliability
+
+    rng = np.random.default_rng(2)
+    a, b = rng.random(300) < 0.70, rng.random(300) < 0.75
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "ok_a int, ok_b int")
+    got = evaluation.interval(evaluation.bootstrap_counts(df)).first()
+    d = b.astype(int) - a.astype(int)
+    want = np.percentile([d[rng.integers(0, 300, 300)].mean() for _ in range(5000)], [2.5, 97.5])
+    assert got.draws == 5000
+    assert (got.lower, got.upper) == pytest.approx(tuple(want), abs=0.008)
+    assert evaluation.bootstrap_counts(df.limit(0)).count() == 0
+    rows = [(f"m{k}", f"r{k}-{i}", "battery", float(rng.normal(k, 2))) for k in range(8) for i in range(12)]
+    facts = spark.createDataFrame(rows, "model_key string, review_id string, aspect string, score double")
+    assert reliability.split_half(facts, 10).collect() == reliability.split_half(facts, 10, 25).collect() != reliability.split_half(facts, 10, 5).collect()

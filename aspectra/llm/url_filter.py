@@ -65,23 +65,27 @@ def domain_edges(hosts: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(1.0))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """(kind, node, value): mass that stays with the seeds or follows shares of edges, after some rounds.
+def spread(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float = 1e-9, most: int = 500) -> DataFrame:
+    """(kind, node, value): mass that stays with the seeds or follows shares of edges, until a round changes no value by more than the tolerance and reaches no new node.
 
     seeds: (kind, node, value), edges: (kind, src, dst, share).
     """
     value = seeds
-    for i in range(rounds):
-        moved = value.join(edges, (value.kind == edges.kind) & (value.node == edges.src)).select(value.kind, F.col("dst").alias("node"), (F.lit(damping) * F.col("value") * F.col("share")).alias("value"))
-        kept = seeds.withColumn("value", F.col("value") * (1 - damping))
-        then = written(moved.unionByName(kept).groupBy("kind", "node").agg(F.sum("value").alias("value")), "ranks")
+    for i in range(most):
+        moved = value.join(edges, (value.kind == edges.kind) & (value.node == edges.src)).select(value.kind, F.col("dst").alias("node"), (F.lit(damping) * F.col("value") * F.col("share")).alias("value"), F.lit(0.0).alias("before"))
+        kept = seeds.select("kind", "node", (F.col("value") * (1 - damping)).alias("value"), F.lit(0.0).alias("before"))
+        last = value.select("kind", "node", F.lit(0.0).alias("value"), F.col("value").alias("before"))
+        then = written(moved.unionByName(kept).unionByName(last).groupBy("kind", "node").agg(F.sum("value").alias("value"), F.sum("before").alias("before")), "ranks")
+        change = then.agg(F.max(F.when(F.col("before") == 0, F.when(F.col("value") > 0, 1.0).otherwise(0.0)).otherwise(F.abs(F.col("value") - F.col("before"))))).first()[0]
         if i:
-            drop_written(value)
-        value = then
-    return value
+            drop_written(held)
+        held, value = then, then.drop("before")
+        if (change or 0.0) <= tolerance:
+            return value
+    raise RuntimeError(f"trust did not settle in {most} rounds")
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = 0.5, damping: float = 0.85) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's share of trust (null: unknown)."""
     host, path = host_and_path(F.col("url"))
     rule, says = fitting_rule(F.col("host"), F.col("path"), rules)
@@ -95,7 +99,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, thr
     raw = hosts.select(F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("host").alias("node"), F.log1p("good").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("host").alias("node"), F.log1p("bad").alias("value")))).alias("s")).select("s.*").where("value > 0")
     sums = raw.groupBy("kind").agg(F.sum("value").alias("sum"))  # two rows
     seeds = written(raw.join(F.broadcast(sums), "kind").select("kind", "node", (F.col("value") / F.col("sum")).alias("value")), "seeds")
-    ranks = spread(seeds, shares, damping, rounds)
+    ranks = spread(seeds, shares, damping)
     sums = ranks.groupBy("kind").agg(F.sum("value").alias("sum"))
     ranks = ranks.join(F.broadcast(sums), "kind").groupBy("node").agg(F.sum(F.when(F.col("kind") == 0, F.col("value") / F.col("sum")).otherwise(0.0)).alias("trust"), F.sum(F.col("value") / F.col("sum")).alias("mass"))
     scored = hosts.select("host").join(ranks, F.col("host") == F.col("node")).select("host", (F.col("trust") / F.col("mass")).alias("trust_share"))

@@ -90,3 +90,9 @@ def test_trust_and_distrust_follow_links(spark):
     got = {r.page_id: r.verdict for r in url_filter.judge(pages_of(spark, rows)).collect()}
     assert got == {0: "allow", 1: "allow", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow"}
     assert url_filter.judge(pages_of(spark, rows).limit(0)).count() == 0
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    rows = [("http://bad.com/de/1", ""), ("http://h0.net/", '<a href="http://bad.com/de/1">b</a>')]
+    rows += [(f"http://h{i}.net/", f'<a href="http://h{i - 1}.net/">b</a>') for i in range(1, 16)]
+    assert {r.verdict for r in url_filter.judge(pages_of(spark, rows)).collect()} == {"block"}

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from aspectra.llm.common import table
 
-TOKENIZERS = "/opt/tokenizers"
 
+def tokenizer_file(name: str, folder: str | None = None) -> str:
+    """Place of a public tokenizer's vocabulary file: in ``folder``, or where the installed package has it."""
+    import public_tokenizers
 
-def tokenizer_file(name: str, folder: str = TOKENIZERS) -> str:
-    """Place of a public tokenizer's vocabulary file; the folder is a parameter."""
-    return f"{folder}/{name}"
+    return f"{folder}/{name}" if folder else str(public_tokenizers.path(name))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

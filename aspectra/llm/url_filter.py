@@ -65,23 +65,38 @@ def domain_edges(hosts: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(1.0))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float = 1e-9, most: int = 500) -> DataFrame:
-    """(kind, node, value): mass that stays with the seeds or follows shares of edges, until a round changes no value by more than the tolerance and reaches no new node.
-
-    seeds: (kind, node, value), edges: (kind, src, dst, share).
+def spread(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float = 1e-3, most: int = 4000, together: int = 6) -> DataFrame:
+    """(kind, node, value): mass that stays with the seeds or follows shares of edges, until ``together`` rounds change no node's value by more than that share of it.
+
+    A node reached for the first time is a change of its whole value, so chains
+    of any length are followed. Mass at a node without links would go back to
+    the seeds, which scales all values of a kind alike; ``judge`` divides by
+    their sum, so it can be left out. seeds: (kind, node, value), edges: (kind,
+    src, dst, share).
     """
-    value = seeds
-    for i in range(most):
-        moved = value.join(edges, (value.kind == edges.kind) & (value.node == edges.src)).select(value.kind, F.col("dst").alias("node"), (F.lit(damping) * F.col("value") * F.col("share")).alias("value"), F.lit(0.0).alias("before"))
-        kept = seeds.select("kind", "node", (F.col("value") * (1 - damping)).alias("value"), F.lit(0.0).alias("before"))
-        last = value.select("kind", "node", F.lit(0.0).alias("value"), F.col("value").alias("before"))
-        then = written(moved.unionByName(kept).unionByName(last).groupBy("kind", "node").agg(F.sum("value").alias("value"), F.sum("before").alias("before")), "ranks")
-        change = then.agg(F.max(F.when(F.col("before") == 0, F.when(F.col("value") > 0, 1.0).otherwise(0.0)).otherwise(F.abs(F.col("value") - F.col("before"))))).first()[0]
-        if i:
-            drop_written(held)
-        held, value = then, then.drop("before")
-        if (change or 0.0) <= tolerance:
-            return value
+    kept = seeds.select("kind", "node", (F.col("value") * (1 - damping)).alias("value"))
+    sent = edges.select(F.col("kind").alias("of"), "src", "dst", "share")
+
+    def moved(value: DataFrame) -> DataFrame:
+        out = value.join(sent, (F.col("kind") == F.col("of")) & (F.col("node") == F.col("src")))
+        return out.select("kind", F.col("dst").alias("node"), (F.lit(damping) * F.col("value") * F.col("share")).alias("value"))
+
+    value = seeds.withColumn("before", F.lit(0.0))
+    for done in range(0, most, together):
+        last, now = value.select("kind", "node", F.lit(0.0).alias("value"), F.col("value").alias("before")), value.drop("before")
+        for i in range(together):
+            parts = moved(now).unionByName(kept)
+            if i < together - 1:
+                now = parts.groupBy("kind", "node").agg(F.sum("value").alias("value"))
+        both = parts.withColumn("before", F.lit(0.0)).unionByName(last)
+        then = written(both.groupBy("kind", "node").agg(F.sum("value").alias("value"), F.sum("before").alias("before")), "ranks")
+        open_ = then.where((F.col("value") > 0) & (F.abs(F.col("value") - F.col("before")) > tolerance * F.col("value")))
+        settled = open_.isEmpty()
+        if done:
+            drop_written(value)
+        value = then
+        if settled:
+            return value.drop("before")
     raise RuntimeError(f"trust did not settle in {most} rounds")
 
 

@@ -4,7 +4,7 @@ Base spans come from three patterns. Weak candidates (identifiers, secrets and
 endpoints that alone would be noise) come from further patterns and are kept
 only where a complementary part lies in scope, no more than ``SCOPE`` code
 points away: an identifier next to a secret, a secret next to an identifier, an
-endpoint next to a secret. The link is an interval join: parts are entered in
+endpoint next to a secret that is reported itself. The link is an interval join: parts are entered in
 buckets of positions, reduced to one row for each text, class and bucket, and
 candidates look at their own buckets and the next. No pairs are emitted.
 
@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import written
+from aspectra.llm.common import fresh, written
 
 SCOPE = 200
 # Fixed values of the contract: base kinds in order, with runs of the lengths that count.
@@ -69,20 +69,29 @@ def spans_of(texts: DataFrame) -> DataFrame:
     taken = _buckets(base.select("digest", "start", "end")).select("digest", "bucket", F.col("start").alias("s"), F.col("end").alias("e"))
     touching = _buckets(weak).join(taken, ["digest", "bucket"]).where("start < e and s < end").select("digest", "ord", "start").distinct()
     weak = weak.join(touching, ["digest", "ord", "start"], "left_anti")
-    parts = base.unionByName(weak).select("digest", "part", "start", "end")
-    near = _buckets(parts).groupBy("digest", F.col("part").alias("needed"), "bucket").agg(F.min("start").alias("first"), F.max("end").alias("last"))
+    ends = weak.where(F.col("part") == "endpoint")
+    weak = weak.where(F.col("part") != "endpoint")
+    pairs = _linked(weak, base.unionByName(weak))
+    # an endpoint counts only beside a secret that is itself reported
+    placed = _linked(ends, base.unionByName(pairs))
+    return reduce(DataFrame.unionByName, (x.select("digest", "kind", "ord", "start", "end") for x in (base, pairs, placed)))
+
+
+def _linked(weak: DataFrame, parts: DataFrame) -> DataFrame:
+    """Weak candidates with a part of the class that they need in scope."""
+    near = _buckets(parts.select("digest", "part", "start", "end")).groupBy("digest", F.col("part").alias("needed"), "bucket").agg(F.min("start").alias("first"), F.max("end").alias("last"))
     needed = reduce(lambda c, k: F.when(F.col("part") == k, NEEDS[k]).otherwise(c), NEEDS, F.lit(None).cast("string"))
-    linked = _buckets(weak.withColumn("needed", needed), 1).join(near, ["digest", "needed", "bucket"])
-    linked = linked.where((F.col("first") - F.col("end") <= SCOPE) & (F.col("start") - F.col("last") <= SCOPE)).select("digest", "kind", "ord", "start", "end").distinct()
-    return base.select("digest", "kind", "ord", "start", "end").unionByName(linked)
+    met = _buckets(weak.withColumn("needed", needed), 1).join(near, ["digest", "needed", "bucket"])
+    met = met.where((F.col("first") - F.col("end") <= SCOPE) & (F.col("start") - F.col("last") <= SCOPE))
+    return met.select(*weak.columns).distinct()
 
 
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with the digest of those texts that can have a span.
+def _keyed(docs: DataFrame, name: str = "_digest") -> DataFrame:
+    """Rows with the digest, as ``name``, of those texts that can have a span.
 
     All kinds but two need ``=`` or ``:``, and a weak secret without any such
     part is never linked, so most texts are told by two short searches.
@@ -90,7 +99,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     marked = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(MARKED)
     found = F.contains(text, F.lit("AKIA")) | marked | text.rlike(HEX)
-    return docs.withColumn("_digest", F.when(found, F.sha2(text.cast("binary"), 256)))
+    return docs.withColumn(name, F.when(found, F.sha2(text.cast("binary"), 256)))
 
 
 def _apart(id_: Column) -> Column:
@@ -117,9 +126,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """All rows, with every span of their texts replaced by ``mark`` and ``n_chars`` counted anew."""
-    columns = docs.columns
-    keyed = written(_keyed(docs), "secret-keyed")  # texts are searched once
-    hits = keyed.select("text", "_digest").where("_digest is not null").groupBy(F.col("_digest").alias("digest")).agg(F.first("text").alias("text"))
+    columns, key = docs.columns, fresh("_digest", docs)
+    keyed = written(_keyed(docs, key), "secret-keyed")  # texts are searched once
+    hits = keyed.select("text", F.col(key).alias("digest")).where("digest is not null").groupBy("digest").agg(F.first("text").alias("text"))
     texts = written(hits, "secret-distinct")
     found = spans_of(texts)
     order = Window.partitionBy("digest").orderBy("start", "end")
@@ -130,10 +139,11 @@ def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     cut = texts.join(lists, "digest")
     edges = F.zip_with(F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["end"])), F.concat(F.transform("cuts", lambda c: c["start"]), F.array(F.length("text"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     pieces = F.transform(edges, lambda e: F.col("text").substr(e["a"] + 1, e["b"] - e["a"]))
-    clean = written(cut.select("digest", F.array_join(pieces, mark).alias("_clean")), "secret-clean")
+    other, made = fresh("_of", keyed), fresh("_clean", keyed)
+    clean = written(cut.select(F.col("digest").alias(other), F.array_join(pieces, mark).alias(made)), "secret-clean")
     # only rows with a match meet the cleaned texts
-    rest = keyed.where("_digest is null").select(*columns)
-    hit = keyed.where("_digest is not null").join(clean, F.col("_digest") == F.col("digest"), "left")
-    text = F.coalesce("_clean", "text")
+    rest = keyed.where(F.col(key).isNull()).select(*columns)
+    hit = keyed.where(F.col(key).isNotNull()).join(clean, F.col(key) == F.col(other), "left")
+    text = F.coalesce(made, "text")
     changed = {"text": text, "n_chars": F.length(text).cast("long")}
     return rest.unionByName(hit.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in columns)))

@@ -63,6 +63,20 @@ def test_masking(spark):
     assert got[10].text == "[secret]"
 
 
+def test_endpoints_need_a_reported_secret(spark):
+    weak = "Ab3" + "x9" * 12
+    texts = [f"url=https://a.b/c {weak}", f"url=https://a.b/c {weak} client_id=abcd1234", "url=https://a.b/c token=abcdefgh", "url=https://a.b/c", f"url=https://a.b/c {'.' * 150} {weak} {'.' * 150} client_id=abcd1234"]
+    got = {r.doc_id: {s.split(":")[0] for s in r.spans.split(",") if s} for r in secrets.scan(docs_of(spark, texts)).collect()}
+    assert got == {0: set(), 1: {"endpoint", "weak_secret", "weak_id"}, 2: {"endpoint", "assign"}, 3: set(), 4: {"endpoint", "weak_secret", "weak_id"}}
+
+
+def test_masking_with_clashing_names(spark):
+    df = docs_of(spark, ["token=abcdefgh", "plain", None]).selectExpr("*", "1 as digest", "2 as _digest", "3 as _Clean", "4 as _of", "5 as start")
+    out = secrets.masked(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r.text, r.digest, r._digest, r.start) for r in out.collect()) == [(0, "[secret]", 1, 2, 5), (1, "plain", 1, 2, 5), (2, None, 1, 2, 5)]
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame([(i, u, h, "x") for i, (u, h) in enumerate(rows)], "page_id long, url string, html string, host string")
 
@@ -94,5 +108,57 @@ def test_trust_and_distrust_follow_links(spark):
 
 def test_distrust_reaches_the_end_of_a_long_chain(spark):
     rows = [("http://bad.com/de/1", ""), ("http://h0.net/", '<a href="http://bad.com/de/1">b</a>')]
-    rows += [(f"http://h{i}.net/", f'<a href="http://h{i - 1}.net/">b</a>') for i in range(1, 16)]
+    rows += [(f"http://h{i}.net/", f'<a href="http://h{i - 1}.net/">b</a>') for i in range(1, 31)]
     assert {r.verdict for r in url_filter.judge(pages_of(spark, rows)).collect()} == {"block"}
+
+
+def brute_shares(pages, rules=url_filter.RULES, damping=0.85):
+    """Trust shares by a dense solve of the same equations, with the mass of hosts without links sent back to the seeds."""
+    import numpy as np
+
+    hosts, seeds, weights = set(), [{}, {}], {}
+    for host, says, targets in pages:
+        hosts.add(host)
+        for kind, word in enumerate(("allow", "block")):
+            seeds[kind][host] = seeds[kind].get(host, 0) + (says == word)
+        for t in targets:
+            if t != host:
+                weights[host, t] = weights.get((host, t), 0) + 1
+    names = sorted(hosts | {n for e in weights for n in e})
+    at = {n: i for i, n in enumerate(names)}
+    w = np.zeros((len(names), len(names)))
+    for (a, b), n in weights.items():
+        w[at[a], at[b]] = np.log1p(n)
+    ranks = []
+    for kind in range(2):
+        links = w if kind == 0 else w.T
+        seed = np.zeros(len(names))
+        for n, c in seeds[kind].items():
+            seed[at[n]] = np.log1p(c)
+        seed /= seed.sum()
+        total = links.sum(1, keepdims=True)
+        step = np.divide(links, total, out=np.tile(seed, (len(names), 1)), where=total > 0)
+        x = seed
+        for _ in range(2000):
+            x = damping * x @ step + (1 - damping) * seed
+        ranks.append(x)
+    return {n: ranks[0][at[n]] / (ranks[0][at[n]] + ranks[1][at[n]]) for n in hosts if ranks[0][at[n]] + ranks[1][at[n]] > 0}
+
+
+def test_shares_are_those_of_a_dense_solve(spark):
+    """Two-label hosts only, so that there are no steps to a domain above."""
+    import random
+
+    rng = random.Random(4)
+    hosts = [f"g{i}.org" for i in range(4)] + [f"n{i}.net" for i in range(30)] + [f"b{i}.com" for i in range(4)]
+    rows, pages = [], []
+    for h in hosts:
+        path, says = ("/de/1", "block") if h.endswith(".com") else ("/a", "allow" if h.endswith(".org") else None)
+        targets = [rng.choice(hosts) for _ in range(rng.randint(0, 3))]
+        rows.append((f"http://{h}{path}", " ".join(f'<a href="http://{t}/">' for t in targets)))
+        pages.append((h, says, targets))
+    want = brute_shares(pages)
+    got = {r.host: r.trust_share for r in url_filter.judge(pages_of(spark, [*rows, rows[0][:1] + ("",)][:-1])).collect()}
+    assert {h for h, s in got.items() if s is not None} == set(want)
+    for h, share in want.items():
+        assert got[h] == pytest.approx(share, abs=2e-3)

@@ -18,7 +18,8 @@ short row for each training document. Scoring covers whole texts of all rows.
 
 Defined results: null or empty text scores like text without any toxic token;
 null ids are scored and never trained on; a label that is null or not 0 or 1 is
-no label; of repeated labels the largest counts; with one class only, every
+no label; of repeated labels the largest counts; of an id's texts the least is
+learnt from, once; with one class only, every
 score is its share; an empty table gives no rows; other columns are not read.
 """
 
@@ -200,13 +201,19 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def without_case(text: str) -> str:
+    """Lower case, in as many characters: one whose lower case is longer stays."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
 def _batches(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
     """Text numbers and pieces of about a chunk; a very long text comes in pieces."""
     numbers: list[int] = []
     parts: list[str] = []
     held = 0
     for i, text in enumerate(texts):
-        for part in pieces_of((text or "").lower()):
+        for part in pieces_of(without_case(text or "")):
             numbers.append(i)
             parts.append(part)
             held += len(part)
@@ -218,7 +225,7 @@ def _batches(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
 
 
 def document_scores(model: Model, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text number, token scores, starts, ends, hashes) of each text; places count in the text without case."""
+    """(text number, token scores, starts, ends, hashes) of each text; places are those in the text itself."""
     waiting: list[tuple] = []
     offset, last = 0, -1
     for numbers, parts in _batches(texts):
@@ -276,7 +283,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 12_
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 0").orderBy(*by_hash).limit(per_class).unionByName(known.where("toxic = 1").orderBy(*by_hash).limit(per_class))
     chosen = docs.sparkSession.createDataFrame(chosen.toPandas().astype("int64"), "doc_id long, toxic long")
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # repeats of an id are reduced to one row within tasks
+    sample = written(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxic-sample")
     bad, good = (min(per_class, sizes[k]) for k in (1, 0))
     prior = float(np.log(bad / good))
     gain = F.abs(F.col("bad") / bad - F.col("good") / good) * F.sqrt(F.col("bad") + F.col("good"))

@@ -69,6 +69,26 @@ def test_toxic_texts_are_told_apart(spark):
     assert toxicity.detect(df.limit(0), truth).count() == 0
 
 
+def test_repeated_rows_are_learnt_from_once(spark):
+    texts, labels = corpus(200)
+    truth = spark.createDataFrame([(i, 1, y) for i, y in enumerate(labels)], "doc_id long, quality int, toxic int")
+    df = docs_of(spark, texts)
+    many = df.unionByName(df.where("doc_id in (1, 4)").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("n"))
+    from aspectra.llm.common import crc_fold
+
+    one, other = (toxicity.fit(x, truth, crc_fold("doc_id", 5) != 0) for x in (df, many))
+    assert one.weights == pytest.approx(other.weights) and (one.scale, one.shift) == pytest.approx((other.scale, other.shift))
+
+
+def test_places_are_those_of_the_text(spark):
+    assert toxicity.without_case("İSTANBUL ΣΑΣ ẞ") == "İstanbul σασ ß" and len(toxicity.without_case("İİ")) == 2
+    texts, labels = corpus()
+    truth = spark.createDataFrame([(i, 1, y) for i, y in enumerate(labels)], "doc_id long, quality int, toxic int")
+    text = "İ" * 50 + " " + " ".join(WORDS[:20]) + " VILRAT scumbo Trasho " + " ".join(WORDS[20:40])
+    got = {r.doc_id: r for r in toxicity.detect(docs_of(spark, [*texts, text]), truth).collect()}[len(texts)]
+    assert text[got.first_char : got.end_char] == "VILRAT scumbo Trasho"
+
+
 def test_repeats_elsewhere_take_nothing_from_a_passage(spark):
     texts, labels = corpus()
     rng = random.Random(5)
@@ -139,6 +159,20 @@ def test_languages_are_told_apart(spark):
     assert {r.lang_pred for r in language.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    """One row 50,000 times, a language with most rows, and more labels than are learnt."""
+    base = spark.range(3000).selectExpr("id as doc_id", "concat('text number ', id) as text", "case when id % 10 < 8 then 'aa' when id % 10 = 8 then 'bb' else concat('l', id) end as lang")
+    df = base.unionByName(spark.range(50_000).selectExpr("cast(7 as long) as doc_id", "'repeated text' as text", "'aa' as lang"))
+    rows = language.sampled_ids(df, F.lit(True), 100, 5).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.lang, []).append(r.doc_id)
+    assert len(by) == 5 and len(by["aa"]) == len(by["bb"]) == 100
+    assert all(len(set(x)) == len(x) for x in by.values())
+    net = language.train(df, F.lit(True), 100, 2, 5)
+    assert len(net.labels) == 5
+
+
 def test_tables_give_the_convolution():
     net = language.ByteNetwork(["a", "b"])
     windows, counts = language.windows_of([b"some text \xc3\xa9", b""])

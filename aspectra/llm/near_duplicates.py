@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import arrow_map, drop_written, whole_groups, written
+from aspectra.llm.common import arrow_map, drop_written, fresh, whole_groups, written
 from aspectra.llm.components import components
 
 SKETCH = 80
@@ -110,21 +110,22 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, k: int = SKETCH) -> DataFrame:
-    """doc_id, set size, class (a digest of the set) and the k smallest values of each document."""
+    """doc_id, hash of the text, set size, class (a digest of the set) and the k smallest values of each document."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, classes, lists = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 own = shingle_set(text, words)
                 sizes.append(len(own))
                 classes.append(class_of(own))
                 lists.append(own[:k])
             ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), values], ["doc_id", "n_shingles", "cls", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), values], ["doc_id", "text_key", "n_shingles", "cls", "sketch"])
 
-    return arrow_map(docs.select("doc_id", F.col("text").cast("binary").alias("text")), make, "doc_id long, n_shingles long, cls long, sketch array<long>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    return arrow_map(rows, make, "doc_id long, text_key long, n_shingles long, cls long, sketch array<long>")
 
 
 def class_of(own: np.ndarray) -> int:
@@ -307,25 +308,38 @@ class Search:
         return self.shared(both.select("cls", "n_shingles", F.xxhash64("key", "other").alias("key")))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
-    """doc_id, n_shingles, cls, component_id and kept of every document; kept: no other comes before it in its component."""
+def placed(docs: DataFrame, words: int, percent: int, k: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, cls, root and component_id of every row; the last three are null without shingles, component_id also without any id."""
     made = written(sketches(docs, words, k), "sketches")
     classes = written(made.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
     roots = Search(docs, classes, words, percent, k).run()
     named = classes.select("cls", "first_id").join(roots.withColumnRenamed("a", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = written(named.join(least, "root").select("cls", "component_id"), "named")
-    out = made.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).select("doc_id", "n_shingles", F.coalesce("cls", F.xxhash64("doc_id")).alias("cls"), F.col("cls").isNotNull().alias("_known"))
-    joined = out.join(of_class, "cls", "left")
-    component = F.when(F.col("_known"), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", "cls", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    of_class = written(named.join(least, "root").select("cls", "root", "component_id"), "named")
+    rows = made.select("doc_id", "text_key", "n_shingles", "cls")
+    none = F.lit(None).cast("long")
+    alone = rows.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", none.alias("cls"), none.alias("root"), none.alias("component_id"))
+    return rows.where("n_shingles > 0").join(of_class, "cls").select(*alone.columns).unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
+    """doc_id, n_shingles, cls, component_id and kept of every document; kept: no other comes before it in its component."""
+    component = F.coalesce("component_id", "doc_id")
+    return placed(docs, words, percent, k).select("doc_id", "n_shingles", "cls", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component with all its columns; of repeated rows with one id and text, one."""
-    found = near_duplicates(docs, words, percent)
-    ids = written(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "copies")
-    marked = docs.join(ids.select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    once = marked.where("_kept is null").select(*docs.columns)
-    repeated = marked.where("_kept").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One row of each component with all its columns: that of the smallest id, then of the smallest hash of its text; of equal ids and texts, one."""
+    found = placed(docs, words, percent, SKETCH).where("root is not null")
+    rows = written(found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")), "component-rows")
+    first = rows.groupBy("root").agg(F.sum("n").alias("all"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")).where("all > 1")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    judged = rows.join(first, "root").select("doc_id", "text_key", kept.alias("stays"), "n").where("not stays or n > 1")
+    key = fresh("_text_key", docs)
+    marked = docs.withColumn(key, F.xxhash64("text"))
+    names = {c: fresh(f"_{c}", marked) for c in ("doc_id", "text_key", "stays")}
+    copies = written(judged.select(*(F.col(c).alias(n) for c, n in names.items())), "copies")
+    marked = marked.join(copies, F.col("doc_id").eqNullSafe(F.col(names["doc_id"])) & (F.col(key) == F.col(names["text_key"])), "left")
+    once = marked.where(F.col(names["stays"]).isNull()).select(*docs.columns)
+    repeated = marked.where(F.col(names["stays"])).select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(repeated)

@@ -1,23 +1,25 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 Reference vectors (pivots) are a bounded sample of the data. A vector is
-described by its nearest pivots in order; inverted lists hold the vectors under
-each pair of their nearest pivots, so two vectors meet in a list exactly if
-they share two pivots or more. Every meeting is verified by the cosine in
-double precision, in matrix blocks. Two vectors that meet in several lists are
-counted in one, that of their two lowest shared pivots, so nothing has to be
-emitted for a pair: a block returns one sum for each of its vectors and one
+described by its DESCRIBED nearest pivots in order, a prefix of its permutation.
+Inverted lists hold the vectors under each of their very nearest pivots, so two
+vectors meet in a list if one of the first few pivots of each is the other's
+too. Within a list, a matrix product of the vectors' pivots counts how many each
+two share; those that share SHARED or more are candidates, and every candidate
+is verified by the cosine in double precision. Two vectors that meet in several
+lists are counted in one, that of their lowest common pivot, so nothing has to
+be emitted for a pair: a block returns one sum for each of its vectors and one
 edge for each to the smallest of its component there.
 
 A list longer than a block is cut in blocks, and each two of these form a task
 of their own; no group of any size lands in one task. Equal vectors are one
-class and are compared once.
+class and are compared once. Vectors of a length that few have need no pivots:
+they make one list.
 
-The more pivots there are, the more of them describe a vector, so that recall
-does not fall as the table grows. At the threshold itself, simulated with 3,000
-pairs of 64 random dimensions at a cosine of 0.9: 0.984 with 6 of 155 pivots,
-0.992 with 7 of 300, 0.991 with 8 of 600, 0.993 with 9 of 1,000, 0.994 with 10
-of 2,000, 0.995 with 11 of 4,096.
+The more pivots there are, the more lists hold a vector, so that recall does not
+fall as the table grows. At the threshold itself, simulated with 3,000 pairs of
+64 random dimensions at a cosine of 0.9: 0.995 with 160 pivots, 0.995 with 450,
+0.991 with 1,000, 0.994 with 2,000, 0.993 with 4,096, 0.988 with 10,000.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing and stay; vectors of different lengths never link;
@@ -28,7 +30,6 @@ number; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,16 @@ from pyspark.sql import functions as F
 from aspectra.llm.common import arrow_map, written
 from aspectra.llm.components import components
 
-#: Nearest pivots that describe a vector, by the largest number of pivots for which they do.
-NEAREST = ((160, 6), (320, 7), (640, 8), (1024, 9), (2048, 10), (4096, 11))
+#: Nearest pivots that describe a vector, and how many two candidates share.
+DESCRIBED, SHARED = 16, 3
+#: Lists that hold a vector, by the largest number of pivots for which they do.
+POSTED = ((256, 5), (1024, 6), (2048, 7), (8192, 8))
 #: Members of a list that one task compares with as many others.
 BLOCK = 1024
-LIST_TARGET = 64
-PIVOTS = (16, 4096)
+PIVOTS = (16, 8192)
+PIVOT_BYTES = 64 << 20
+#: Vectors of a length from which on it has pivots.
+MANY = 1024
 
 
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,45 +67,47 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def nearest_of(pivots: int) -> int:
-    """How many of so many pivots describe a vector."""
-    return min(pivots, next((k for most, k in NEAREST if pivots <= most), NEAREST[-1][1]))
+def posted_in(pivots: int) -> int:
+    """How many lists hold a vector."""
+    return min(pivots, next((m for most, m in POSTED if pivots <= most), POSTED[-1][1]))
 
 
-def pivots_for(n: int) -> int:
-    """Pivots with which a list of pairs holds LIST_TARGET of n vectors on average, within the bounds."""
-    for most, k in NEAREST:
-        count = (k * (k - 1) * n / LIST_TARGET) ** 0.5
-        if count <= most:
-            break
-    return int(min(PIVOTS[1], max(PIVOTS[0], count)))
+def pivots_for(n: int, width: int) -> int:
+    """Pivots with which finding them costs about as much as comparing lists, within the bounds."""
+    return int(min(PIVOTS[1], PIVOT_BYTES // (8 * width), max(PIVOTS[0], 4 * n**0.5)))
 
 
 def nearest(own: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Numbers of each row's nearest pivots, ascending."""
-    order = np.argsort(-(own @ pivots.T), axis=1, kind="stable")[:, : nearest_of(len(pivots))]
-    return np.sort(order, 1).astype(np.int32)
+    """Numbers of each row's nearest pivots, nearest first."""
+    near, k = own @ pivots.T, min(DESCRIBED, len(pivots))
+    few = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < len(pivots) else np.broadcast_to(np.arange(k), near.shape)
+    few = np.sort(few, 1)  # ties go to the lower number
+    order = np.argsort(-np.take_along_axis(near, few, 1), axis=1, kind="stable")
+    return np.take_along_axis(few, order, 1).astype(np.int32)
 
 
-def described(classes: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
-    """cls, copies, the normalised vector as bytes, its nearest pivots ascending, and the lists it stands in."""
+def described(classes: DataFrame, pivots: np.ndarray | None, width: int | None) -> DataFrame:
+    """cls, copies, the normalised vector and its nearest pivots in order as bytes, and the lists it stands in; without pivots, one list for its length."""
     sent = classes.sparkSession.sparkContext.broadcast(pivots)
-    near = nearest_of(len(pivots))
-    pairs = np.array(list(combinations(range(near), 2)) if near > 1 else [(0, 0)])
+    rows = classes if width is None else classes.where(F.size("vector") == width)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = _matrix(batch.column(2))
-            order = nearest(own, reference)
-            keys = (order[:, pairs[:, 0]].astype(np.int64) << 20) + order[:, pairs[:, 1]]
-            columns = [batch.column(0), batch.column(1), pa.array([r.tobytes() for r in own], pa.binary()), pa.array([r.tobytes() for r in order], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))]
+            if reference is None:
+                own = [_matrix(pa.array([x]))[0] for x in batch.column(2).to_pylist()]
+                order = np.zeros((len(own), 0), np.int32)
+                keys = [[-len(x)] for x in own]
+            else:
+                own = _matrix(batch.column(2))
+                order = nearest(own, reference)
+                keys = order[:, : posted_in(len(reference))].tolist()
+            columns = [batch.column(0), batch.column(1), pa.array([r.tobytes() for r in own], pa.binary()), pa.array([r.tobytes() for r in order], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["cls", "copies", "vector", "pivots", "keys"])
 
-    rows = classes.where(F.size("vector") == width).select("cls", "copies", "vector")
-    return arrow_map(rows, describe, "cls long, copies long, vector binary, pivots binary, keys array<long>")
+    return arrow_map(rows.select("cls", "copies", "vector"), describe, "cls long, copies long, vector binary, pivots binary, keys array<long>")
 
 
 def local_roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -116,30 +123,45 @@ def local_roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             return label
 
 
-def compare(key: int, cls: np.ndarray, copies: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, side: np.ndarray, across: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+def candidates(pivots: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether each row of ``left`` and of ``right`` share enough pivots, by a matrix product of who has which."""
+    if not pivots.shape[1]:
+        return np.ones((len(left), len(right)), bool)
+    distinct, column = np.unique(pivots, return_inverse=True)
+    has = np.zeros((len(pivots), len(distinct)), np.float32)
+    np.put_along_axis(has, column.reshape(pivots.shape), 1, 1)
+    return has[left] @ has[right].T >= min(SHARED, pivots.shape[1])
+
+
+def compare(key: int, posted: int, copies: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, side: np.ndarray, across: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of a block that belong to this list, as copies linked to each row; and each row's local root."""
-    if across:
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        x, y = np.nonzero(vectors[left] @ vectors[right].T >= least)
-        x, y = left[x], right[y]
+    left = np.flatnonzero(side == 0) if across else np.arange(len(copies))
+    right = np.flatnonzero(side == 1) if across else left
+    open_ = candidates(pivots, left, right)
+    if not across:
+        open_ = np.triu(open_, 1)
+    if open_.mean() > 0.05:
+        x, y = np.nonzero(open_ & (vectors[left] @ vectors[right].T >= least))
     else:
-        x, y = np.nonzero(np.triu(vectors @ vectors.T >= least, 1))
-    sums = np.zeros(len(cls), np.int64)
+        x, y = np.nonzero(open_)
+        near = [np.einsum("ij,ij->i", vectors[left[x[i : i + 4096]]], vectors[right[y[i : i + 4096]]]) >= least for i in range(0, len(x), 4096)]
+        good = np.concatenate(near) if near else np.zeros(0, bool)
+        x, y = x[good], y[good]
+    x, y = left[x], right[y]
+    sums = np.zeros(len(copies), np.int64)
     for first in range(0, len(x), 1 << 17):
         a, b = x[first : first + (1 << 17)], y[first : first + (1 << 17)]
-        shared = (pivots[a][:, :, None] == pivots[b][:, None, :]).any(2)
-        one = shared.argmax(1)
-        rest = shared.copy()
-        rest[np.arange(len(a)), one] = False
-        two = np.where(rest.any(1), rest.argmax(1), one)
-        rows = np.arange(len(a))
-        own = (pivots[a][rows, one].astype(np.int64) << 20) + pivots[a][rows, two] == key
-        np.add.at(sums, a[own], copies[b[own]])
-        np.add.at(sums, b[own], copies[a[own]])
-    return sums, local_roots(len(cls), x, y) if len(x) else np.arange(len(cls))
-
-
-def links_within(blocks: DataFrame, least: float) -> DataFrame:
+        if key >= 0:
+            one, two = pivots[a, :posted], pivots[b, :posted]
+            common = np.where((one[:, :, None] == two[:, None, :]).any(2), one, np.iinfo(np.int32).max)
+            own = common.min(1) == key
+            a, b = a[own], b[own]
+        np.add.at(sums, a, copies[b])
+        np.add.at(sums, b, copies[a])
+    return sums, local_roots(len(copies), x, y) if len(x) else np.arange(len(copies))
+
+
+def links_within(blocks: DataFrame, least: float, posted: int) -> DataFrame:
     """Compare the rows of each (key, low, high); they come together and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +178,7 @@ def links_within(blocks: DataFrame, least: float) -> DataFrame:
                     continue
                 vectors = np.frombuffer(b"".join(raw[a:b]), np.float64).reshape(b - a, -1)
                 pivots = np.frombuffer(b"".join(near[a:b]), np.int32).reshape(b - a, -1)
-                sums, roots = compare(int(codes[a, 0]), cls[a:b], copies[a:b], vectors, pivots, side[a:b], codes[a, 1] != codes[a, 2], least)
+                sums, roots = compare(int(codes[a, 0]), posted, copies[a:b], vectors, pivots, side[a:b], codes[a, 1] != codes[a, 2], least)
                 hit = np.flatnonzero((sums > 0) | (roots != np.arange(b - a)))
                 for part, values in zip(out, (cls[a:b][hit], sums[hit], cls[a:b][roots[hit]])):
                     part.append(values)
@@ -186,9 +208,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, pivot_count: int | None
     rows, classes = classes_of(vectors)
     rows, classes = written(rows, "vectors"), written(classes, "vector-classes")
     found = None
-    widths = [r.width for r in classes.groupBy(F.size("vector").alias("width")).count().orderBy("width").collect()]
-    for width in widths:
-        part = links(classes.where(F.size("vector") == width), width, least, pivot_count)
+    sizes = classes.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n"))
+    many = sizes.where(F.col("n") > MANY).orderBy("width").collect()  # as many lengths as have so many vectors
+    for width, n in many:
+        part = links(described(classes, *pivots_of(classes, width, n, pivot_count)), least, posted_in(pivot_count or pivots_for(n, width)))
+        found = part if found is None else found.unionByName(part)
+    few = classes.join(F.broadcast(sizes.where((F.col("n") > 1) & (F.col("n") <= MANY)).select("width")), F.size("vector") == F.col("width"), "left_semi")
+    if not few.isEmpty():
+        part = links(described(few, None, None), least, 0)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -205,18 +232,22 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, pivot_count: int | None
     return joined.select("vec_id", count.alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-def links(classes: DataFrame, width: int, least: float, pivot_count: int | None = None) -> DataFrame:
+def pivots_of(classes: DataFrame, width: int, n: int, count: int | None = None) -> tuple[np.ndarray, int]:
+    """The pivots among n vectors of a length: a bounded sample by hash."""
+    count = count or pivots_for(n, width)
+    at = F.pmod(F.xxhash64(F.col("cls") + 1), F.lit(1 << 52))
+    # only about twice as many as wanted reach the driver's merge
+    under = classes.where((F.size("vector") == width) & (at < int(min(1.0, (2 * count + 100) / n) * (1 << 52))))
+    return _matrix(under.orderBy(at, "cls").limit(count).select("vector").toArrow().column(0)), width
+
+
+def links(index: DataFrame, least: float, posted: int) -> DataFrame:
     """(cls, linked, root): per block and row, copies linked and an edge to the block's smallest."""
-    n = classes.count()
-    count = pivot_count or pivots_for(n)
-    # the pivots: a bounded sample by hash
-    chosen = classes.orderBy(F.xxhash64(F.col("cls") + 1), "cls").limit(count).select("vector").toArrow()
-    pivots = _matrix(chosen.column(0))
-    index = written(described(classes, pivots, width), "pivot-index", "none")
+    index = written(index, "pivot-index", "none")
     slim = index.select("cls", F.explode("keys").alias("key"))
     sizes = slim.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     dealt = slim.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", "cls", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     blocks = dealt.join(index.drop("keys"), "cls").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return links_within(blocks.select("key", "low", "high", "side", "cls", "copies", "vector", "pivots"), least)
+    return links_within(blocks.select("key", "low", "high", "side", "cls", "copies", "vector", "pivots"), least, posted)

@@ -129,6 +129,42 @@ def test_one_of_each_stays(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4]
     assert near_duplicates.near_duplicates(df.limit(0)).count() == 0
+    assert near_duplicates.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_one_of_each_stays_whatever_ids_and_names(spark):
+    """Null and repeated ids that stand for several texts, and columns named like the operator's own."""
+    rng = random.Random(12)
+    base = [[f"{k}{rng.randrange(10**6)}" for _ in range(60)] for k in "abc"]
+    near = [" ".join(b[:-1] + ["end"]) for b in base]
+    full = [" ".join(b) for b in base]
+    rows = [(None, full[0]), (None, near[0]), (None, full[1]), (7, full[2]), (7, near[2]), (8, full[1]), (8, full[1]), (9, None), (9, ""), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, cls int, _kept int, root int, text_key int")
+    out = near_duplicates.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(got) == 7
+    assert sum(t in (full[0], near[0]) for _, t in got) == sum(t in (full[2], near[2]) for _, t in got) == 1
+    assert [i for i, t in got if t == full[1]] == [8]
+    assert sorted([(i is None, t is None) for i, t in got if not t]) == [(False, False), (False, True), (True, False), (True, True)]
+
+
+def test_common_opening_loses_no_link(spark):
+    """1,500 pairs of 5 and 6 shingles behind an opening whose shingles are neighbours in hash order."""
+    rng = random.Random(6)
+    for _ in range(2000):
+        opening = [f"o{rng.randrange(10**6)}" for _ in range(6)]
+        values = np.sort(near_duplicates.shingle_set(" ".join(opening).encode(), 4))
+        if float(values[-1]) - float(values[0]) < 2.0**64 / 1000:
+            break
+    texts = []
+    for i in range(1500):
+        own = [*opening, f"x{i}", f"y{i}"]
+        texts += [" ".join(own), " ".join([*own, f"z{i}"])]
+    sets = [shingles(t, 4) for t in texts[:2]]
+    assert 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1])
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs_of(spark, texts), 4).collect()}
+    assert [got[i] for i in range(3000)] == [i // 2 * 2 for i in range(3000)]
 
 
 def test_components_of_chains_and_stars(spark):
@@ -140,8 +176,10 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_vectors_against_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("many", [20, 1024])
+def test_vectors_against_all_pairs(spark, monkeypatch, many):
     monkeypatch.setattr(embeddings, "BLOCK", 16)
+    monkeypatch.setattr(embeddings, "MANY", many)
     rng = np.random.default_rng(3)
     rows = [rng.normal(size=16) for _ in range(300)]
     for _ in range(60):
@@ -185,12 +223,30 @@ def pairs_at(cosine, n, rng):
     return a, cosine * a + (1 - cosine**2) ** 0.5 * unit(b - (a * b).sum(1, keepdims=True) * a)
 
 
-@pytest.mark.parametrize("pivots", [155, 161, 321, 640, 1024, 2048, 4096])
+@pytest.mark.parametrize("pivots", [100, 257, 640, 1024, 2048, 4096, 8192])
 def test_pairs_at_the_threshold_meet_at_any_pivot_count(pivots):
     rng = np.random.default_rng(pivots)
     reference = unit(rng.normal(size=(pivots, 64)))
     x, y = (embeddings.nearest(v, reference) for v in pairs_at(0.9, 2000, rng))
-    assert ((x[:, :, None] == y[:, None, :]).any(2).sum(1) >= 2).mean() >= 0.975
+    m = embeddings.posted_in(pivots)
+    meet = (x[:, :m, None] == y[:, None, :m]).any((1, 2))
+    assert (meet & ((x[:, :, None] == y[:, None, :]).any(2).sum(1) >= embeddings.SHARED)).mean() >= 0.98
+
+
+def test_pivots_are_in_order_of_nearness():
+    rng = np.random.default_rng(2)
+    own, reference = unit(rng.normal(size=(50, 8))), unit(rng.normal(size=(40, 8)))
+    want = np.argsort(-(own @ reference.T), axis=1, kind="stable")[:, : embeddings.DESCRIBED]
+    assert (embeddings.nearest(own, reference) == want).all()
+    same = np.ones((3, 4)) / 2
+    assert (embeddings.nearest(same[:1], same) == [[0, 1, 2]]).all()
+
+
+def test_shared_pivots_are_counted():
+    pivots = np.random.default_rng(5).permuted(np.tile(np.arange(40, dtype=np.int32), (30, 1)), axis=1)[:, : embeddings.DESCRIBED]
+    left, right = np.arange(12), np.arange(12, 30)
+    got = embeddings.candidates(pivots, left, right)
+    assert (got == [[len({*pivots[a]} & {*pivots[b]}) >= embeddings.SHARED for b in right] for a in left]).all()
 
 
 def test_links_at_the_threshold_with_many_pivots(spark):

@@ -9,8 +9,11 @@ to the vocabulary's pieces, again once for each distinct word of a block.
 
 A word is sent at most once for each block, so common words make no hot key;
 what moves is the distinct words of blocks and the word numbers, both packed.
-Blocks are named by file, split and number, so both passes of one plan name
-them alike, however often a task runs; a checksum of the words guards that.
+Blocks are named by partition and number, and both passes read the same files in
+the same splits, so they name them alike, however often a task runs and however
+often the plan reads a file; a checksum of documents and words guards that.
+Rows that do not come straight from files are written first. Blocks are dealt
+over twice as many partitions as the input has, so none grows with the input.
 
 Defined results: null or empty text has no ids and decodes to an empty text;
 texts with the strings of special tokens, or with characters unknown to
@@ -27,14 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from aspectra.llm.common import arrow_map, small_batches, written
 from aspectra.llm.tokens import CHUNK_CHARS, WordCodec, WordTable, byte_letters, codec, pieces_of, split_words
 
 BLOCK_CHARS = 12_000_000
-MOST_BUCKETS = 8192
+MOST_BUCKETS = 2048
+MOST_PARTITIONS = 65536
+#: Physical operators that give each partition the same rows in the same order whenever they run.
+STEADY = ("Scan parquet", "Scan orc", "Scan json", "Scan csv", "Scan text", "Project", "Filter", "Union", "ColumnarToRow", "WholeStageCodegen", "InputAdapter")
 PACK = "zstd"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CODED = "doc_id long, ids array<long>, decoded string"
@@ -114,22 +120,22 @@ class Block:
         of = hashes % np.uint64(self.buckets)
         order = np.lexsort((hashes, of))
         edges = np.searchsorted(of[order], np.arange(self.buckets + 1))
-        return order, edges, zlib.crc32(hashes[order].tobytes())
+        names = np.array([[i is None, i or 0] for i in self.doc_ids], np.int64).tobytes()
+        return order, edges, zlib.crc32(hashes[order].tobytes(), zlib.crc32(names))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], own: WordCodec, buckets: int, with_words: bool) -> Iterator[tuple[str, Block]]:
-    """Blocks of a task's rows (doc_id, text, file, split), each within one split."""
-    block, name, number = None, None, 0
+    """Blocks of a task's rows (doc_id, text)."""
+    partition, number = TaskContext.get().partitionId(), 0
+    block = Block(own, buckets, with_words)
     for batch in batches:
-        for doc_id, text, file, start in zip(*(c.to_pylist() for c in batch.columns)):
-            if block is None or (file, start) != name or block.chars >= BLOCK_CHARS:
-                if block is not None:
-                    yield f"{name[0]}:{name[1]}:{number}", block
-                number = number + 1 if name == (file, start) else 0
-                name, block = (file, start), Block(own, buckets, with_words)
+        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if block.chars >= BLOCK_CHARS:
+                yield f"{partition}:{number}", block
+                number, block = number + 1, Block(own, buckets, with_words)
             block.add(doc_id, text)
-    if block is not None:
-        yield f"{name[0]}:{name[1]}:{number}", block
+    if block.doc_ids:
+        yield f"{partition}:{number}", block
 
 
 def bucket_words(rows: DataFrame, path: str, buckets: int) -> DataFrame:
@@ -187,31 +193,43 @@ def word_positions(rows: DataFrame, path: str, buckets: int) -> DataFrame:
     return arrow_map(rows, keep, "block string, doc_ids array<long>, doc_words array<long>, checksum long, numbers binary, whole array<long>, whole_ids array<binary>")
 
 
-_pieces: dict[str, list[bytes]] = {}
+_pieces: dict[str, tuple[np.ndarray, pa.Array]] = {}
 
 
-def pieces(path: str) -> list[bytes]:
-    """Bytes of each id of a byte-level vocabulary."""
+def pieces(path: str) -> tuple[np.ndarray, pa.Array]:
+    """The table of ids, ascending, and their bytes, of a byte-level vocabulary."""
     if path not in _pieces:
         own = codec(path)
         byte_of = {c: b for b, c in byte_letters().items()}
-        found = [b""] * own.tokenizer.get_vocab_size(with_added_tokens=True)
-        for piece, i in own.tokenizer.get_vocab(with_added_tokens=True).items():
-            found[i] = bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode()
-        for i, token in own.tokenizer.get_added_tokens_decoder().items():
-            found[i] = token.content.encode()
-        _pieces[path] = found
+        found = {i: bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode() for piece, i in own.tokenizer.get_vocab(with_added_tokens=True).items()}
+        found |= {i: token.content.encode() for i, token in own.tokenizer.get_added_tokens_decoder().items()}
+        ids = sorted(found)
+        _pieces[path] = np.array(ids, np.int64), pa.array([found[i] for i in ids], pa.binary())
     return _pieces[path]
 
 
-def _documents(encoded: pa.Table, position: dict, table: list[bytes]) -> Iterator[tuple[int | None, int, list[bytes], list[bytes]]]:
+def join_pieces(ids: np.ndarray, counts: np.ndarray, table: tuple[np.ndarray, pa.Array]) -> list[bytes]:
+    """Join ids to their pieces, in order; the bytes of each of the runs of ``counts`` ids."""
+    keys, values = table
+    at = np.searchsorted(keys, ids)
+    if len(ids) and (at.max() >= len(keys) or (keys[at] != ids).any()):
+        raise ValueError("an id has no piece")
+    joined = values.take(pa.array(at))
+    ends = np.frombuffer(joined.buffers()[1], np.int32, len(ids) + 1) if len(ids) else np.zeros(1, np.int32)
+    data = joined.buffers()[2].to_pybytes() if len(ids) and joined.buffers()[2] else b""
+    last = ends[np.cumsum(counts)].tolist() if len(counts) else []
+    return [data[a:b] for a, b in zip([int(ends[0]), *last], last)]
+
+
+def _documents(encoded: pa.Table, position: dict, table: tuple[np.ndarray, pa.Array]) -> Iterator[tuple[int | None, int, list[bytes], list[bytes]]]:
     """(doc_id, number of ids, decimal ids by word, decoded bytes by word) of a block's documents."""
     parts = sorted(zip(*(encoded.column(c).to_pylist() for c in ("first", "checksum", "counts", "ids"))), key=lambda p: p[0])
     if any(p[1] != position["checksum"] for p in parts):
         raise RuntimeError("the two passes saw different words in one block")
     counts = np.concatenate([_unpack(p[2], "<u4") for p in parts]) if parts else np.zeros(0, "<u4")
-    ids = np.concatenate([_unpack(p[3], "<u4") for p in parts]).tolist() if parts else []
-    decimal, text = [], []
+    every = np.concatenate([_unpack(p[3], "<u4") for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+    text = join_pieces(every, counts.astype(np.int64), table)
+    ids, decimal = every.tolist(), []
     at = 0
     names: dict[int, bytes] = {}
     for n in counts.tolist():
@@ -221,7 +239,6 @@ def _documents(encoded: pa.Table, position: dict, table: list[bytes]) -> Iterato
             if i not in names:
                 names[i] = b"%d" % i
         decimal.append(b",".join([names[i] for i in own]))
-        text.append(b"".join([table[i] for i in own]))
     numbers = _unpack(position["numbers"], "<u4")
     many = counts.astype(np.int64)[numbers]
     total = np.concatenate(([0], np.cumsum(many)))
@@ -229,8 +246,8 @@ def _documents(encoded: pa.Table, position: dict, table: list[bytes]) -> Iterato
     at = 0
     for k, (doc_id, n) in enumerate(zip(position["doc_ids"], position["doc_words"])):
         if k in whole:
-            own = np.frombuffer(whole[k], "<u4").tolist()
-            yield doc_id, len(own), [b"%d" % i for i in own], [table[i] for i in own]
+            own = np.frombuffer(whole[k], "<u4").astype(np.int64)
+            yield doc_id, len(own), [b"%d" % i for i in own.tolist()], join_pieces(own, np.ones(len(own), np.int64), table)
             continue
         words = numbers[at : at + n].tolist()
         yield doc_id, int(total[at + n] - total[at]), [decimal[w] for w in words], [text[w] for w in words]
@@ -241,8 +258,12 @@ def joined(docs: DataFrame, path: str, digest: bool) -> DataFrame:
     """Bring words' ids back to their positions. digest: hashes of ids and decoded text instead of these."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select("doc_id", "text", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_split"))
-    buckets = int(min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())))
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        # splits must not depend on how many executors there are just now
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
+    rows = docs.select("doc_id", "text")
+    least, inputs = int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()
+    buckets, dealt = min(MOST_BUCKETS, max(least, inputs)), min(MOST_PARTITIONS, max(least, 2 * inputs))
     encoded = encode_words(bucket_words(rows, path, buckets).repartition("bucket"), path)
     positions = word_positions(rows, path, buckets)
 
@@ -261,14 +282,28 @@ def joined(docs: DataFrame, path: str, digest: bool) -> DataFrame:
         names = [f.split()[0] for f in (DIGEST if digest else CODED).split(", ")]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return encoded.groupBy("block").cogroup(positions.groupBy("block")).applyInArrow(meet, DIGEST if digest else CODED)
+    both = (part.repartition(dealt, "block").groupBy("block") for part in (encoded, positions))
+    return next(both).cogroup(next(both)).applyInArrow(meet, DIGEST if digest else CODED)
+
+
+def _steady(docs: DataFrame) -> bool:
+    """Whether both passes see the same rows in each partition: files, and operators within a partition that give equal results."""
+    query = docs._jdf.queryExecution()
+    if not query.analyzed().deterministic():
+        return False
+    open_ = [query.executedPlan()]
+    while open_:
+        node = open_.pop()
+        children = node.children()
+        if not node.nodeName().startswith(STEADY) or (children.size() == 0 and not node.nodeName().startswith("Scan")):
+            return False
+        open_ += [children.apply(i) for i in range(children.size())]
+    return True
 
 
 def _stored(docs: DataFrame) -> DataFrame:
-    """Rows that come straight from files; others are written first, so that blocks have names."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    from_files = "FileScan" in plan and "Exchange" not in plan
-    return docs if from_files else written(docs.select("doc_id", "text"), "documents")
+    """Rows that come straight from files; others are written first, so that both passes see the same."""
+    return docs if _steady(docs) else written(docs.select("doc_id", "text"), "documents")
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.helpers import ODD, PATHS, docs_of
 
 from aspectra.llm import binary_output, bpe, packing, tokens
@@ -63,6 +64,28 @@ def test_bpe_by_distinct_words(spark, library, monkeypatch):
     assert bpe.encode_documents(df.limit(0), PATHS["byte"]).count() == 0
 
 
+def test_bpe_of_any_plan(spark, library, tmp_path):
+    """Files read twice, by filters, after Python and after a shuffle; none loses or doubles a word."""
+    texts = ["alpha beta gamma", "delta alpha", None, "epsilon zeta eta theta", "beta beta"]
+    docs_of(spark, texts).selectExpr("*", "'x' as _file").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    assert bpe._steady(df) and bpe._steady(df.union(df)) and not bpe._steady(df.where("rand() < 2")) and not bpe._steady(df.repartition(2)) and not bpe._steady(df.mapInArrow(lambda b: b, df.schema))
+    plans = [df.union(df), df.where("doc_id < 3").union(df.where("doc_id >= 1")), df.mapInArrow(lambda b: b, df.schema), df.repartition(2), df.where("rand() < 2"), df.union(df).orderBy("text")]
+    for plan in plans:
+        want = sorted(hashlib.sha256(",".join(map(str, library["byte"].encode(r.text or "", add_special_tokens=False).ids)).encode()).hexdigest() for r in plan.select("text").collect())
+        assert sorted(r.ids_sha256 for r in bpe.digest_documents(plan, PATHS["byte"]).collect()) == want
+
+
+def test_ids_join_to_pieces():
+    import pyarrow as pa
+
+    table = np.array([0, 2, 5]), pa.array([b"a", b"", b"ccc"], pa.binary())
+    assert bpe.join_pieces(np.array([5, 0, 2, 0]), np.array([2, 0, 2]), table) == [b"ccca", b"", b"a"]
+    assert bpe.join_pieces(np.zeros(0, np.int64), np.zeros(0, np.int64), table) == []
+    with pytest.raises(ValueError):
+        bpe.join_pieces(np.array([1]), np.array([1]), table)
+
+
 def test_coded_files_give_the_ids_back(spark, library, monkeypatch):
     monkeypatch.setattr(binary_output, "BLOCK_IDS", 50)
     df = docs_of(spark, ODD).unionByName(docs_of(spark, ["null id"]).selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars", "cls"))
@@ -77,6 +100,37 @@ def test_coded_files_give_the_ids_back(spark, library, monkeypatch):
     assert binary_output.write_and_read(df.limit(0), PATHS["byte"]).count() == 0
 
 
+def test_files_alone_are_enough(spark, library, tmp_path):
+    """Another process reads them; a document runs over several blocks; rows of one id are many."""
+    import subprocess
+    import sys
+
+    texts = ["word " * 700, "a", None, *ODD[:8]]
+    df = docs_of(spark, texts).unionByName(docs_of(spark, ["same"]).where("doc_id = 0").selectExpr("cast(5 as long) doc_id", "text", "lang", "source", "n_chars", "cls").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("k"))
+    path = binary_output.write_files(binary_output.stage_ids(df, PATHS["byte"]), 64)
+    code = f"""
+from aspectra.llm.binary_output import read_files
+from aspectra.session import session
+spark = session(2, 2)
+for r in read_files(spark, {path!r}).orderBy("start").collect():
+    print("ROW", r.doc_id, r.start, r.n_tokens, r.ids_crc32)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300).stdout
+    got = [tuple(int(x) for x in line.split()[1:]) for line in out.splitlines() if line.startswith("ROW")]
+    assert len(got) == len(texts) + 300
+    assert [g[1] for g in got] == [sum(g[2] for g in got[:i]) for i in range(len(got))] and [g[0] for g in got] == sorted(g[0] for g in got)
+    same = zlib.crc32(np.array([*library["byte"].encode("same").ids, 0], "<u4").tobytes())
+    for i, t in enumerate(texts):
+        crc = zlib.crc32(np.array([*library["byte"].encode(t or "").ids, 0], "<u4").tobytes())
+        assert [g[3] for g in got if g[0] == i and (i != 5 or g[3] != same)] == [crc]
+    assert sum(g[3] == same for g in got) == 300
+
+
+@pytest.mark.parametrize(("a", "b"), [(b"", b"x"), (b"abc", b""), (b"abc", b"defgh" * 1000), (b"\0" * 5, b"\xff")])
+def test_checksums_of_parts_add_up(a, b):
+    assert binary_output.crc_moved(zlib.crc32(a), len(b)) ^ zlib.crc32(b) == zlib.crc32(a + b)
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000, 300000])
 def test_coder_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 50257).astype(np.int64)

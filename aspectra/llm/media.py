@@ -257,7 +257,7 @@ def feature_of(media: Media, payload: bytes) -> str:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Read each media value back: digests of payload and file, and features."""
+    """Read each media value back: digests of payload and file, and features; null or damaged media say so as feature, their other columns are null."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FEATURES.split(", ")]
@@ -265,8 +265,14 @@ def media_features(media: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                found = parse(data)
-                payload = payload_of(found, data)
+                try:
+                    found = parse(data) if data is not None else None
+                    payload = payload_of(found, data) if found else b""
+                except ValueError:
+                    found, payload = None, b""
+                if not payload:
+                    rows.append((doc_id, n, None, None, None, None, None, "none" if data is None else "damaged"))
+                    continue
                 rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(found, payload)))
             columns = list(zip(*rows)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)

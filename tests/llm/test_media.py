@@ -73,3 +73,12 @@ def test_columns(spark):
     packets = M.packet_table(media).collect()
     assert len(packets) == sum(r.payload_bytes // 192 for r in got.values())
     assert M.media_features(media.limit(0)).count() == 0
+
+
+def test_null_and_damaged_media_are_told(spark):
+    whole = M.store(M.padded(b"some text"))
+    df = spark.createDataFrame([(1, 9, bytearray(whole)), (2, 9, None), (3, 9, bytearray(whole[:-7])), (4, 0, bytearray(b""))], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in M.media_features(df).collect()}
+    assert got[1].payload_bytes == 192
+    assert [got[i].feature for i in (2, 3, 4)] == ["none", "damaged", "damaged"]
+    assert got[3].payload_sha256 is None

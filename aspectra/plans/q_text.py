@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aspectra.constants import AXES
+from aspectra.constants import AXES, UNIT_MAX_WORDS, UNIT_MIN_WORDS
 from aspectra.functions import text as X
 from aspectra.functions.scores import hash_uniform, r6
 from aspectra.operators import analysis as A
@@ -236,14 +236,6 @@ def dataset_stats(t: Tables) -> DataFrame:
     return out.select(r6("mean").alias("mean"), *(F.floor(F.col("q")[i]).cast("int").alias(n) for i, n in enumerate(("middle", "p90", "p99"))), "longest")
 
 
-@query(sql("pairs", "WITH s AS (SELECT review_id, list_sort(list(DISTINCT aspect)) AS aspects FROM pairs WHERE position%40=0 GROUP BY 1) SELECT a.review_id AS a, b.review_id AS b FROM s a JOIN s b ON a.review_id<b.review_id AND left(a.review_id,2)=left(b.review_id,2) AND NOT list_has_any(a.aspects,b.aspects)"))
-def disjoint_pairs(t: Tables) -> DataFrame:
-    """A sample: pairs within blocks of two first characters, over aspects of every 40th row only, as its twin has it; :func:`disjoint_sets` covers all rows and pairs."""
-    s = t.pairs.where("position % 40 = 0").groupBy("review_id").agg(F.collect_set("aspect").alias("aspects")).withColumn("block", F.substring("review_id", 1, 2))
-    b = s.select(F.col("review_id").alias("b"), F.col("aspects").alias("other"), "block")
-    return s.join(b, "block").where((F.col("review_id") < F.col("b")) & ~F.arrays_overlap("aspects", "other")).select(F.col("review_id").alias("a"), "b")
-
-
 _SETS = "s AS (SELECT review_id, array_to_string(list_sort(list(DISTINCT aspect)),'|') AS aspects FROM pairs GROUP BY 1)"
 
 
@@ -298,8 +290,35 @@ def canonical_name(t: Tables) -> DataFrame:
     return t.listings.select("asin", X.canonical_name(title, brand).alias("canonical"))
 
 
-@query()
+def sentences_sql(column: str, least: int = UNIT_MIN_WORDS, most: int = UNIT_MAX_WORDS) -> str:
+    """The twin of :func:`aspectra.functions.text.split_sentences`: a list of units. Its patterns can't look around, so lists do that."""
+    ws = X.SPACE.replace(r"\x85", r"\x{85}")
+    text, mark = f"coalesce({column},'')", X.CUT_MARK
+    end = X.TERMINATOR.replace("'", "''")
+    trim = lambda c: f"regexp_replace({c},'^[{ws}]+|[{ws}]+$','','g')"
+    words = lambda c: f"list_filter(string_split_regex({c},'[{ws}]+'), lambda w: w<>'')"
+    marked = f"regexp_replace(l,'({end}[{ws}]+)','\\1{mark}','g')"
+    for _ in range(2):  # two of them in a row
+        marked = f"regexp_replace({marked},'(^|[^A-Za-z.])(\\.*(?i:{X._ABBREVIATED}){end}[{ws}]+){mark}','\\1\\2','g')"
+    marked = f"regexp_replace({marked},'[{ws}]+{mark}','{mark}','g')"
+    parts = f"list_filter(string_split({marked},'{mark}'), lambda p: p<>'')"
+    joined = f"list_filter(string_split(array_to_string(list_transform({parts}, lambda p, i: CASE WHEN i>1 AND len({words('p')})<{least} THEN ' ' ELSE '{mark}' END || p),''),'{mark}'), lambda p: p<>'')"
+    first = f"list_transform([{joined}], lambda u: CASE WHEN len(u)>1 AND len({words('u[1]')})<{least} THEN list_concat([u[1]||' '||u[2]],u[3:]) ELSE u END)[1]"
+    lines = f"list_filter(list_transform(string_split_regex({text},'[\\r\\n]+'), lambda l: regexp_replace({trim('l')},'^[{X.BULLETS}]+[{ws}]*','')), lambda l: l<>'')"
+    units = f"flatten(list_transform({lines}, lambda l: {first}))"
+    full = f"(len(s.o)>0 AND len(s.o)+len(c)>{most})"
+    held = f"(CASE WHEN {full} THEN c ELSE list_concat(s.o,c) END)"
+    over = f"((len({held})-1)//{most})"
+    step = f"{{'d': list_concat(CASE WHEN {full} THEN list_append(s.d,array_to_string(s.o,' ')) ELSE s.d END, list_transform(range({over}), lambda i: array_to_string({held}[i*{most}+1:(i+1)*{most}],' '))), 'o': {held}[{over}*{most}+1:]}}"
+    clauses = f"list_transform(string_split(regexp_replace(u,',[{ws}]+',',{mark}','g'),'{mark}'), lambda k: {words('k')})"
+    done = f"list_transform([list_reduce({clauses}, lambda s, c: {step}, {{'d': CAST([] AS VARCHAR[]), 'o': CAST([] AS VARCHAR[])}})], lambda s: CASE WHEN len(s.o)>0 THEN list_append(s.d,array_to_string(s.o,' ')) ELSE s.d END)[1]"
+    short = f"flatten(list_transform({units}, lambda u: CASE WHEN len({words('u')})<={most} THEN [u] ELSE {done} END))"
+    return f"CASE WHEN {trim(text)}='' THEN CAST([] AS VARCHAR[]) WHEN len({units})=0 THEN [{trim(text)}] ELSE {short} END"
+
+
+@query(f"SELECT doc_id, unnest(range(len(units))) AS position, unnest(units) AS unit FROM (SELECT doc_id, {sentences_sql('text')} AS units FROM documents)")
 def split_sentences(t: Tables) -> DataFrame:
+    """Sentence units of whole documents."""
     units = t.raw("documents").select("doc_id", F.posexplode(X.split_sentences("text")).alias("position", "unit"))
     return units.select("doc_id", F.col("position").cast("long").alias("position"), "unit")
 
@@ -313,15 +332,15 @@ def batch_skip_counts(t: Tables) -> DataFrame:
 
 
 _KEYWORDS = {"battery": "the", "camera": "eau", "price": "schein", "display": "ción", "performance": "whor"}
-_UNITS = "u AS (SELECT doc_id AS review_id, text AS cleaned, unnest(list_filter(string_split(text,'. '), lambda x: x<>'')) AS unit, generate_subscripts(list_filter(string_split(text,'. '), lambda x: x<>''),1)-1 AS position FROM documents), asp AS (SELECT unnest(['battery','camera','price','display','performance']) AS aspect)"
+_UNITS = f"u AS (SELECT review_id, cleaned, unnest(units) AS unit, unnest(range(len(units))) AS position FROM (SELECT review_id, cleaned, {sentences_sql('cleaned')} AS units FROM (SELECT doc_id AS review_id, {_clean_sql('text')} AS cleaned FROM documents))), asp AS (SELECT unnest(['battery','camera','price','display','performance']) AS aspect)"
 _DETECT = "CASE " + " ".join(f"WHEN aspect='{a}' AND contains(lower({{x}}),'{w}') THEN 0.9e0" for a, w in _KEYWORDS.items()) + " ELSE 0e0 END"
 _FOUND = f"{_UNITS}, f AS (SELECT review_id, position, aspect, unit, {_DETECT.format(x='unit')} AS p FROM u, asp), g AS (SELECT * FROM f WHERE p>=0.5e0), w AS (SELECT review_id, position, aspect, cleaned AS unit, {_DETECT.format(x='cleaned')} AS p FROM u, asp WHERE position=0 AND review_id NOT IN (SELECT review_id FROM g)), wb AS (SELECT review_id, position, aspect, unit, p FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY p DESC, aspect) AS rn, max(p) OVER (PARTITION BY review_id) AS mp FROM w) WHERE p>=0.5e0 OR (mp<0.5e0 AND rn=1)), ev AS (SELECT *, contains(lower(unit),'trash') AS bad, contains(lower(unit),'and') AS good FROM (SELECT * FROM g UNION ALL SELECT * FROM wb)), pr AS (SELECT *, CASE WHEN bad THEN 0.90e0 WHEN good THEN 0.05e0 ELSE 0.10e0 END AS pn, CASE WHEN bad THEN 0.05e0 WHEN good THEN 0.05e0 ELSE 0.80e0 END AS pu, CASE WHEN bad THEN 0.05e0 WHEN good THEN 0.90e0 ELSE 0.10e0 END AS pp FROM ev), cb AS (SELECT review_id, aspect, max(p) AS detection, count(*) AS mentions, min(position) AS first_position, sum(pn*greatest(p,1e-6))/sum(greatest(p,1e-6)) AS p_negative, sum(pu*greatest(p,1e-6))/sum(greatest(p,1e-6)) AS p_neutral, sum(pp*greatest(p,1e-6))/sum(greatest(p,1e-6)) AS p_positive FROM pr GROUP BY 1,2), sc AS (SELECT *, 1+9*(0.5e0*p_neutral/(p_negative+p_neutral+p_positive)+p_positive/(p_negative+p_neutral+p_positive)) AS score, CASE WHEN round(p_negative,9)>=round(p_neutral,9) AND round(p_negative,9)>=round(p_positive,9) THEN 'negative' WHEN round(p_neutral,9)>=round(p_positive,9) THEN 'neutral' ELSE 'positive' END AS polarity FROM cb)"
 
 
 def _units(t: Tables) -> DataFrame:
-    """Sentences in the engine: pieces between full stops, as the twin has them."""
-    pieces = F.filter(F.split("text", r"\. "), lambda x: x != "")
-    return t.raw("documents").select(F.col("doc_id").alias("review_id"), F.col("text").alias("cleaned"), F.posexplode(pieces).alias("position", "unit"))
+    """Sentence units of cleaned documents."""
+    cleaned = t.raw("documents").select(F.col("doc_id").alias("review_id"), X.clean_text(F.col("text")).alias("cleaned"))
+    return cleaned.select("review_id", "cleaned", F.posexplode(X.split_sentences("cleaned")).alias("position", "unit"))
 
 
 def _analyzed(t: Tables) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import math
 
 import pytest
@@ -80,17 +81,36 @@ def test_dedup_keys(spark):
         ("...", ["..."]),
     ],
 )
-def test_sentence_units(text, units):
-    assert X.sentence_units(text) == units
+def test_sentence_units(spark, text, units):
+    assert texts(spark, X.split_sentences, [text]) == [units]
 
 
-def test_long_units_are_cut_without_loss():
+def test_long_units_are_cut_without_loss(spark):
     words = " ".join(f"w{i}" for i in range(140))
-    units = X.sentence_units(words)
-    assert [len(u.split()) for u in units] == [60, 60, 20]
-    assert " ".join(units) == words
     commas = ", ".join(" ".join(["x"] * 25) for _ in range(4))
-    assert all(len(u.split()) <= 60 for u in X.sentence_units(commas))
+    tail = "a b, " + " ".join(["y"] * 120) + ", c d"
+    long, clauses, mixed = texts(spark, X.split_sentences, [words, commas, tail])
+    assert [len(u.split()) for u in long] == [60, 60, 20]
+    assert " ".join(long) == words
+    assert [len(u.split()) for u in clauses] == [50, 50]
+    assert [len(u.split()) for u in mixed] == [2, 60, 60, 2] and " ".join(mixed) == tail
+
+
+def test_sentence_units_are_those_of_the_twin(spark):
+    """Random texts of all that matters to the rules, in both engines."""
+    import duckdb
+    import pandas as pd
+
+    from aspectra.plans.q_text import sentences_sql
+
+    rng = random.Random(3)
+    bits = ["word", "Wow", "etc", "e.g", "Mr", "no", "x1", "6.1", ".", "...", "!", "?", '."', ".)", ",", " ", "  ", " ", " ", "\n", "\r\n", "- ", "• ", "\u00a0", "\t", "é", "..etc", "A.co", "vs. ", "etc. vs. no. "]
+    rows = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    rows += [" ".join(rng.choice(["a", "b,", "c", "d.", "e"]) for _ in range(rng.randint(50, 300))) if i % 2 else ", ".join(" ".join(["w"] * rng.randint(1, 90)) for _ in range(rng.randint(1, 6))) for i in range(200)]
+    frame = pd.DataFrame({"i": range(len(rows)), "text": rows})
+    want = duckdb.connect().register("t", frame).sql(f"SELECT {sentences_sql('text')} AS u FROM t ORDER BY i").fetchall()
+    got = texts(spark, X.split_sentences, rows)
+    assert got == [u for (u,) in want]
 
 
 @pytest.mark.parametrize(

@@ -10,6 +10,7 @@ from aspectra.functions import text as X
 from aspectra.functions.scores import hash_uniform, r6
 from aspectra.operators import analysis as A
 from aspectra.operators import dataset as D
+from aspectra.operators import ml as ML
 from aspectra.plans.bindings import Tables, sql
 from aspectra.plans.registry import query
 
@@ -404,42 +405,52 @@ def synthetic_reviews(t: Tables) -> DataFrame:
     return reviews(t.products.select("model_key", "name"), 3)
 
 
-_TOK = "tok AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text),'[a-z0-9]{2,}')) AS t FROM documents) GROUP BY 1,2), df AS (SELECT t, count(*) AS df FROM tok GROUP BY 1 HAVING count(*)>=2), w AS (SELECT doc_id, tok.t AS t, (1+ln(tf))*(ln((1+(SELECT count(*) FROM documents))/CAST(1+df AS DOUBLE))+1) AS w FROM tok JOIN df ON df.t=tok.t)"
+_WORD_TERMS = f"SELECT {{id}} AS id, unnest(list_concat(w, list_transform(range(1,len(w)), lambda i: w[i]||' '||w[i+1]))) AS t FROM (SELECT {{id}}, regexp_extract_all(lower(text),'{ML.WORD}') AS w FROM {{table}})".replace("{2,}", "{{2,}}").replace("\\p{L}", "\\p{{L}}").replace("\\p{N}", "\\p{{N}}")
+_CHAR_TERMS = "SELECT id, unnest(flatten(list_transform(range(3,least(5,length(w))+1), lambda n: list_transform(range(1,length(w)-n+2), lambda i: substr(w,i,n))))) AS t FROM (SELECT {id} AS id, ' '||unnest(list_filter(string_split_regex(lower(text),'[" + X.SPACE.replace(r"\x85", r"\x{85}").replace("{", "{{").replace("}", "}}") + "]+'), lambda x: x<>''))||' ' AS w FROM {table})"
 
 
-@query(f"WITH {_TOK}, nn AS (SELECT doc_id, sqrt(sum(w*w)) AS norm FROM w GROUP BY 1) SELECT t, count(*) AS docs, round(sum(w/norm),4) AS weight FROM w JOIN nn ON nn.doc_id=w.doc_id GROUP BY 1")
-def tfidf_terms(t: Tables) -> DataFrame:
-    """Sublinear TF-IDF with smooth idf and unit length, summed by term."""
-    from aspectra.operators.ml import tfidf
+def _weights_sql(name: str, terms: str, table: str, min_df: int) -> str:
+    """CTEs of TF-IDF weights: ``name`` (id, t, weight)."""
+    return f"{name}_tf AS (SELECT id, t, count(*) AS tf FROM ({terms}) GROUP BY 1,2), {name}_df AS (SELECT t, count(*) AS df FROM {name}_tf GROUP BY 1 HAVING count(*)>={min_df}), {name}_w AS (SELECT id, f.t AS t, (1+ln(tf))*(ln((1+(SELECT count(*) FROM {table}))/CAST(1+df AS DOUBLE))+1) AS w FROM {name}_tf f JOIN {name}_df d ON d.t=f.t), {name} AS (SELECT id, t, w/sqrt(sum(w*w) OVER (PARTITION BY id)) AS weight FROM {name}_w)"
+
+
+_WORD_W = _weights_sql("words", _WORD_TERMS.format(id="doc_id", table="documents"), "documents", 2)
+_CHAR_W = _weights_sql("chars", _CHAR_TERMS.format(id="item_id", table="benchmark"), "benchmark", 3)
+_BOTH_W = _weights_sql("words", _WORD_TERMS.format(id="item_id", table="benchmark"), "benchmark", 2)
+
 
-    out = tfidf(t.raw("documents").select("doc_id", "text"), "doc_id", "text", 2)
+@query(f"WITH {_WORD_W} SELECT t, count(*) AS docs, round(sum(weight),4) AS weight FROM words GROUP BY 1")
+def tfidf_terms(t: Tables) -> DataFrame:
+    """Sublinear TF-IDF of words and pairs of words, with smooth idf and unit length, summed by term."""
+    out = ML.tfidf(t.raw("documents").select("doc_id", "text"), "doc_id", "text")
     return out.groupBy(F.col("term").alias("t")).agg(F.count("*").alias("docs"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-@query("WITH w AS (SELECT item_id, ' '||unnest(regexp_extract_all(lower(text),'[a-z0-9]+'))||' ' AS x FROM benchmark), g AS (SELECT item_id, substr(x,CAST(i AS INTEGER),CAST(n AS INTEGER)) AS gram FROM w, (SELECT unnest([3,4,5]) AS n), (SELECT unnest(range(1,200)) AS i) WHERE i+n-1<=length(x)) SELECT gram, count(*) AS n, count(DISTINCT item_id) AS docs FROM g GROUP BY 1 HAVING count(DISTINCT item_id)>=3")
+@query(f"WITH {_CHAR_W} SELECT t AS gram, count(*) AS docs, round(sum(weight),4) AS weight FROM chars GROUP BY 1")
 def char_ngrams(t: Tables) -> DataFrame:
-    """Character n-grams of 3 to 5 within word bounds."""
-    from aspectra.operators.ml import char_ngrams as grams
+    """The same of 3 to 5 characters within words that three items have, summed by n-gram."""
+    out = ML.char_tfidf(t.raw("benchmark"), "item_id", "text")
+    return out.groupBy(F.col("term").alias("gram")).agg(F.count("*").alias("docs"), F.round(F.sum("weight"), 4).alias("weight"))
+
 
-    out = grams(t.raw("benchmark"), "item_id", "text", 3, 5)
-    return out.groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("docs")).where("docs >= 3")
+@query(f"WITH {_BOTH_W}, {_CHAR_W} SELECT id AS item_id, kind, count(*) AS features, round(sum(weight),4) AS weight FROM (SELECT id, 'word' AS kind, weight FROM words UNION ALL SELECT id, 'char', weight FROM chars) GROUP BY 1,2")
+def feature_union(t: Tables) -> DataFrame:
+    """Both kinds of features of each item: their number and total weight."""
+    out = ML.feature_union(t.raw("benchmark"), "item_id", "text")
+    return out.groupBy("item_id", "kind").agg(F.count("*").alias("features"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 @query()
 def sentiment_logreg(t: Tables) -> DataFrame:
     """Three balanced classes by multinomial logistic regression: predictions of the held-out split."""
-    from aspectra.operators.ml import fit_sentiment
-
     y = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).otherwise(2)
     rows = t.texts.select("doc_id", "split", "text", y.alias("y"))
-    return fit_sentiment(rows.where("split = 'train'")).transform(rows.where("split <> 'train'")).select("doc_id", F.col("prediction").cast("int").alias("prediction"), "y")
+    return ML.fit_sentiment(rows.where("split = 'train'")).transform(rows.where("split <> 'train'")).select("doc_id", F.col("prediction").cast("int").alias("prediction"), "y")
 
 
 @query()
 def detector_logreg(t: Tables) -> DataFrame:
     """One balanced logistic regression for each label: probabilities of the held-out split."""
-    from aspectra.operators.ml import fit_detector, predict_detector
-
     rows = t.texts.select("doc_id", "split", "text", *((F.col("lang") == x).cast("int").alias(x) for x in ("en", "fr")))
-    models = fit_detector(rows.where("split = 'train'"), ["en", "fr"])
-    return predict_detector(rows.where("split <> 'train'").select("doc_id", "text"), models, 0.46)
+    models = ML.fit_detector(rows.where("split = 'train'"), ["en", "fr"])
+    return ML.predict_detector(rows.where("split <> 'train'").select("doc_id", "text"), models, 0.46)

@@ -193,65 +193,63 @@ def word_positions(rows: DataFrame, path: str, buckets: int) -> DataFrame:
     return arrow_map(rows, keep, "block string, doc_ids array<long>, doc_words array<long>, checksum long, numbers binary, whole array<long>, whole_ids array<binary>")
 
 
-_pieces: dict[str, tuple[np.ndarray, pa.Array]] = {}
+_pieces: dict[str, tuple[np.ndarray, pa.Array, pa.Array]] = {}
 
 
-def pieces(path: str) -> tuple[np.ndarray, pa.Array]:
-    """The table of ids, ascending, and their bytes, of a byte-level vocabulary."""
+def pieces(path: str) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """The table of ids, ascending, their bytes, and their decimal digits with a comma, of a byte-level vocabulary."""
     if path not in _pieces:
         own = codec(path)
         byte_of = {c: b for b, c in byte_letters().items()}
         found = {i: bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode() for piece, i in own.tokenizer.get_vocab(with_added_tokens=True).items()}
         found |= {i: token.content.encode() for i, token in own.tokenizer.get_added_tokens_decoder().items()}
         ids = sorted(found)
-        _pieces[path] = np.array(ids, np.int64), pa.array([found[i] for i in ids], pa.binary())
+        _pieces[path] = np.array(ids, np.int64), pa.array([found[i] for i in ids], pa.large_binary()), pa.array([b"%d," % i for i in ids], pa.large_binary())
     return _pieces[path]
 
 
-def join_pieces(ids: np.ndarray, counts: np.ndarray, table: tuple[np.ndarray, pa.Array]) -> list[bytes]:
-    """Join ids to their pieces, in order; the bytes of each of the runs of ``counts`` ids."""
-    keys, values = table
-    at = np.searchsorted(keys, ids)
-    if len(ids) and (at.max() >= len(keys) or (keys[at] != ids).any()):
+def piece_places(ids: np.ndarray, table: tuple[np.ndarray, pa.Array, pa.Array]) -> pa.Array:
+    """Join ids to their rows of the table."""
+    at = np.searchsorted(table[0], ids)
+    if len(ids) and (at.max() >= len(table[0]) or (table[0][at] != ids).any()):
         raise ValueError("an id has no piece")
-    joined = values.take(pa.array(at))
-    ends = np.frombuffer(joined.buffers()[1], np.int32, len(ids) + 1) if len(ids) else np.zeros(1, np.int32)
-    data = joined.buffers()[2].to_pybytes() if len(ids) and joined.buffers()[2] else b""
-    last = ends[np.cumsum(counts)].tolist() if len(counts) else []
-    return [data[a:b] for a, b in zip([int(ends[0]), *last], last)]
+    return pa.array(at)
 
 
-def _documents(encoded: pa.Table, position: dict, table: tuple[np.ndarray, pa.Array]) -> Iterator[tuple[int | None, int, list[bytes], list[bytes]]]:
-    """(doc_id, number of ids, decimal ids by word, decoded bytes by word) of a block's documents."""
+def runs_of(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    """Each run of ``counts`` values as one value. Offsets are 64 bits wide, so that no text is too long."""
+    ends = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1) if len(values) else np.zeros(1, np.int64)
+    offsets = ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), values.buffers()[2] or pa.py_buffer(b"")])
+
+
+def join_pieces(ids: np.ndarray, counts: np.ndarray, table: tuple[np.ndarray, pa.Array, pa.Array]) -> tuple[pa.Array, pa.Array]:
+    """Join ids to their pieces, in order: bytes and decimal ids of each of the runs of ``counts`` ids."""
+    at = piece_places(ids, table)
+    return runs_of(table[1].take(at), counts), runs_of(table[2].take(at), counts)
+
+
+def _documents(encoded: pa.Table, position: dict, table: tuple[np.ndarray, pa.Array, pa.Array]) -> Iterator[tuple[int | None, int, bytes, bytes]]:
+    """(doc_id, number of ids, decimal ids, decoded bytes) of a block's documents."""
     parts = sorted(zip(*(encoded.column(c).to_pylist() for c in ("first", "checksum", "counts", "ids"))), key=lambda p: p[0])
     if any(p[1] != position["checksum"] for p in parts):
         raise RuntimeError("the two passes saw different words in one block")
-    counts = np.concatenate([_unpack(p[2], "<u4") for p in parts]) if parts else np.zeros(0, "<u4")
-    every = np.concatenate([_unpack(p[3], "<u4") for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-    text = join_pieces(every, counts.astype(np.int64), table)
-    ids, decimal = every.tolist(), []
-    at = 0
-    names: dict[int, bytes] = {}
-    for n in counts.tolist():
-        own = ids[at : at + n]
-        at += n
-        for i in own:
-            if i not in names:
-                names[i] = b"%d" % i
-        decimal.append(b",".join([names[i] for i in own]))
+    counts = np.concatenate([_unpack(p[2], "<u4") for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+    ids = np.concatenate([_unpack(p[3], "<u4") for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
     numbers = _unpack(position["numbers"], "<u4")
-    many = counts.astype(np.int64)[numbers]
-    total = np.concatenate(([0], np.cumsum(many)))
+    words, of_doc = pa.array(numbers.astype(np.int64)), np.array(position["doc_words"], np.int64)
+    text, decimal = (runs_of(word.take(words), of_doc) for word in join_pieces(ids, counts, table))
+    total = np.concatenate(([0], np.cumsum(counts[numbers])))
+    ends = np.cumsum(of_doc)
+    many = (total[ends] - total[ends - of_doc]).tolist()
     whole = dict(zip(position["whole"], position["whole_ids"]))
-    at = 0
-    for k, (doc_id, n) in enumerate(zip(position["doc_ids"], position["doc_words"])):
+    for k, doc_id in enumerate(position["doc_ids"]):
         if k in whole:
             own = np.frombuffer(whole[k], "<u4").astype(np.int64)
-            yield doc_id, len(own), [b"%d" % i for i in own.tolist()], join_pieces(own, np.ones(len(own), np.int64), table)
-            continue
-        words = numbers[at : at + n].tolist()
-        yield doc_id, int(total[at + n] - total[at]), [decimal[w] for w in words], [text[w] for w in words]
-        at += n
+            decoded, digits = (x[0].as_py() for x in join_pieces(own, np.array([len(own)]), table))
+            yield doc_id, len(own), digits[:-1], decoded
+        else:
+            yield doc_id, many[k], decimal[k].as_py()[:-1], text[k].as_py()
 
 
 def joined(docs: DataFrame, path: str, digest: bool) -> DataFrame:
@@ -271,8 +269,7 @@ def joined(docs: DataFrame, path: str, digest: bool) -> DataFrame:
         table = pieces(path)
         out: list[tuple] = []
         for row in right.to_pylist():
-            for doc_id, n, decimal, text in _documents(left, row, table):
-                raw, decoded = b",".join(decimal), b"".join(text)
+            for doc_id, n, raw, decoded in _documents(left, row, table):
                 if digest:
                     out.append((doc_id, n, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest()))
                 else:

@@ -79,9 +79,10 @@ def test_bpe_of_any_plan(spark, library, tmp_path):
 def test_ids_join_to_pieces():
     import pyarrow as pa
 
-    table = np.array([0, 2, 5]), pa.array([b"a", b"", b"ccc"], pa.binary())
-    assert bpe.join_pieces(np.array([5, 0, 2, 0]), np.array([2, 0, 2]), table) == [b"ccca", b"", b"a"]
-    assert bpe.join_pieces(np.zeros(0, np.int64), np.zeros(0, np.int64), table) == []
+    table = np.array([0, 2, 5]), pa.array([b"a", b"", b"ccc"], pa.large_binary()), pa.array([b"0,", b"2,", b"5,"], pa.large_binary())
+    text, ids = bpe.join_pieces(np.array([5, 0, 2, 0]), np.array([2, 0, 2]), table)
+    assert (text.to_pylist(), ids.to_pylist()) == ([b"ccca", b"", b"a"], [b"5,0,", b"", b"2,0,"])
+    assert [x.to_pylist() for x in bpe.join_pieces(np.zeros(0, np.int64), np.zeros(0, np.int64), table)] == [[], []]
     with pytest.raises(ValueError):
         bpe.join_pieces(np.array([1]), np.array([1]), table)
 

@@ -52,7 +52,8 @@ def _observed(facts: DataFrame, floor: int) -> DataFrame:
 def null_spread(facts: DataFrame, floor: int) -> DataFrame:
     """Means of as many draws with the noise within products, for as many products."""
     each = _observed(facts, floor).select("aspect", "s", "m", F.explode(F.sequence(F.lit(0), F.col("products") - 1)).alias("p"))
-    draws = each.select("aspect", "s", "p", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
+    # a few rows became many: deal them out before each becomes more
+    draws = each.repartition("aspect", "p").select("aspect", "s", "p", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
     key = F.concat_ws("-", "aspect", F.col("i").cast("string"), F.col("p").cast("string"))
     u1, u2 = (F.greatest(hash_uniform(key, s), F.lit(1e-12)) for s in ("n1", "n2"))
     normal = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * F.pi() * u2)

@@ -74,6 +74,18 @@ def load_taxonomy(spark: SparkSession, tables: dict[str, dict[str, str]]) -> Dat
     return spark.createDataFrame(rows, "kind string, source string, aspect string")
 
 
+# The mapping tables of a taxonomy file.
+TAXONOMY_TABLES = ("attribute_overrides", "product_attribute_map", "phone_map", "laptop_map")
+
+
+def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
+    """The mapping tables of a YAML taxonomy as one dimension, checked; other keys are not read."""
+    import yaml
+
+    content = yaml.safe_load("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())) or {}
+    return load_taxonomy(spark, {name: content[name] for name in TAXONOMY_TABLES if content.get(name)})
+
+
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
     """Reviews of an upload: the review-like column of a CSV file with a header, else a line each."""
     first = spark.read.text(path).limit(1).collect()

@@ -157,3 +157,46 @@ def test_resampling_is_whole(spark):
     rows = [(f"m{k}", f"r{k}-{i}", "battery", float(rng.normal(k, 2))) for k in range(8) for i in range(12)]
     facts = spark.createDataFrame(rows, "model_key string, review_id string, aspect string, score double")
     assert reliability.split_half(facts, 10).collect() == reliability.split_half(facts, 10, 25).collect() != reliability.split_half(facts, 10, 5).collect()
+
+
+def test_bootstrap_of_any_metric(spark):
+    rows = [(i, i % 3, i % 3 if i % 4 else 0, i % 3 if i % 5 else 1) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, y int, a int, b int")
+    ok = df.select("id", (F.col("a") == F.col("y")).cast("int").alias("ok_a"), (F.col("b") == F.col("y")).cast("int").alias("ok_b"))
+    plain = {r.draw: r["diff"] for r in evaluation.bootstrap(ok, "id", 8).collect()}
+    assert {r.draw: r["diff"] for r in evaluation.bootstrap_metric(df, "id", "y", "a", "b", draws=8).collect()} == pytest.approx(plain)
+    weights = {(r.id, r.draw): r.w for r in df.select("id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("draw")).withColumn("w", evaluation.draw_weight(F.col("id"), F.col("draw"))).collect()}
+
+    def f1(pred, draw):
+        parts = []
+        for k in range(4):
+            hit = sum(weights[r[0], draw] for r in rows if r[1] == k and r[pred] == k)
+            every = sum(weights[r[0], draw] * ((r[1] == k) + (r[pred] == k)) for r in rows)
+            parts.append(2 * hit / every if every else 0)
+        return sum(parts) / 4
+
+    got = {r.draw: r["diff"] for r in evaluation.bootstrap_metric(df, "id", "y", "a", "b", evaluation.macro_f1_metric(4), 8).collect()}
+    assert got == pytest.approx({d: f1(3, d) - f1(2, d) for d in range(8)})
+
+
+def test_synthetic_reviews_carry_their_labels(spark):
+    import json
+
+    from aspectra.operators.synthetic import reviews
+
+    products = spark.createDataFrame([(f"k{i}", f"Phone {i}") for i in range(40)], "model_key string, name string")
+    made = reviews(products, 25)
+    got = made.collect()
+    assert len(got) == 1000 and sorted(map(tuple, got)) == sorted(map(tuple, reviews(products.repartition(3), 25).collect()))
+    sizes, polarities, cases = set(), set(), {"upper": 0, "lower": 0, "dots": 0}
+    for r in got:
+        labels, clauses = json.loads(r.labels), json.loads(r.clauses)
+        assert labels.keys() == clauses.keys() and set(labels) <= set(AXES) and "{" not in r.text
+        assert all(c.lower() in r.text.lower().replace("!", ".") or "." in c for c in clauses.values())
+        sizes.add(len(labels))
+        polarities |= set(labels.values())
+        cases["upper"] += r.text.isupper()
+        cases["lower"] += r.text.islower()
+        cases["dots"] += r.text.endswith("...")
+    assert sizes == {1, 2, 3} and polarities == {"positive", "neutral", "negative"}
+    assert all(10 < n < 150 for n in cases.values())

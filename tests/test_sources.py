@@ -119,3 +119,60 @@ def test_models_are_chosen(spark, tmp_path):
         readers.resolve_stage("b", {"b": False}, {})
     with pytest.raises(FileNotFoundError):
         readers.load_model(spark, str(tmp_path))
+
+
+def test_taxonomy_file(spark, tmp_path):
+    (tmp_path / "t.yaml").write_text("version: 3\naspects: {battery: {label: Battery}}\nphone_map:\n  Battery/Longevity: battery\n  Screen: display\nattribute_overrides: {PRICE: price}\n")
+    got = {(r.kind, r.source, r.aspect) for r in readers.read_taxonomy(spark, f"{tmp_path}/t.yaml").collect()}
+    assert got == {("phone_map", "Battery/Longevity", "battery"), ("phone_map", "Screen", "display"), ("attribute_overrides", "PRICE", "price")}
+    (tmp_path / "u.yaml").write_text("phone_map: {Screen: nonsense}")
+    with pytest.raises(ValueError):
+        readers.read_taxonomy(spark, f"{tmp_path}/u.yaml")
+
+
+def test_promotion_and_the_way_back(spark, tmp_path):
+    import json
+
+    from aspectra.sources import models
+
+    def model(name, complete=True):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "metadata.json").write_text(json.dumps({"name": name}))
+        if complete:
+            (folder / "model").mkdir()
+            (folder / "model" / "part").write_text(name)
+        return str(folder)
+
+    one, two, half = model("one"), model("two"), model("half", False)
+    target = f"{tmp_path}/served"
+    with pytest.raises(FileNotFoundError):
+        models.promote(spark, half, target)
+    with pytest.raises(FileNotFoundError):
+        models.rollback(spark, target)
+    assert models.promote(spark, one, target, dry_run=True)["name"] == "one" and not (tmp_path / "served").exists()
+    models.promote(spark, one, target)
+    record = models.promote(spark, two, target, "better on dev")
+    served = lambda: json.loads((tmp_path / "served" / "metadata.json").read_text())
+    assert served() == record and record["promoted"]["reason"] == "better on dev"
+    assert (tmp_path / "served" / "model" / "part").read_text() == "two" and (tmp_path / "served.previous" / "model" / "part").read_text() == "one"
+    models.rollback(spark, target)
+    assert served()["name"] == "one" and not (tmp_path / "served.previous").exists()
+
+
+def test_fetching(tmp_path):
+    import zipfile
+
+    from aspectra.sources import fetch
+
+    source = tmp_path / "source.zip"
+    with zipfile.ZipFile(source, "w") as archive:
+        archive.writestr("deep/a.csv", 'x,y\n1,"two\nlines"\n2,z\n\n')
+        archive.writestr("b.txt", "b")
+    with pytest.warns(UserWarning, match="2 rows, not 3"):
+        record = fetch.fetch(source.as_uri(), tmp_path / "out", ("deep/a.csv",), {"a.csv": 3})
+    assert record["files"]["a.csv"]["rows"] == 2 and (tmp_path / "out" / "provenance.json").exists() and not (tmp_path / "out" / "b.txt").exists()
+    (tmp_path / "out" / "a.csv").write_text("x\n1\n")
+    assert fetch.fetch(source.as_uri(), tmp_path / "out", ("deep/a.csv",))["files"]["a.csv"]["rows"] == 1
+    assert fetch.fetch(source.as_uri(), tmp_path / "out", ("deep/a.csv",), force=True)["files"]["a.csv"]["rows"] == 2
+    assert set(fetch.fetch(source.as_uri(), tmp_path / "all")["files"]) == {"a.csv", "b.txt"}

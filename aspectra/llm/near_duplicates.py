@@ -333,6 +333,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     found = placed(docs, words, percent, SKETCH).where("root is not null")
     rows = written(found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")), "component-rows")
     first = rows.groupBy("root").agg(F.sum("n").alias("all"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")).where("all > 1")
+    first = written(first, "component-firsts")  # a component with very many rows can then be split in the join
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     judged = rows.join(first, "root").select("doc_id", "text_key", kept.alias("stays"), "n").where("not stays or n > 1")
     key = fresh("_text_key", docs)

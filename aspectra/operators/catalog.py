@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +52,12 @@ def sample_n(df: DataFrame, id_: str, n: int, seed: int) -> DataFrame:
 
 
 def enumerate_rows(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Consecutive numbers in an order, without one task for all rows: counts by range, then places within."""
-    ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    """Consecutive numbers in an order, without one task for all rows: counts by range, then places within.
+
+    Both parts must see the same ranges, whose bounds are sampled anew for each
+    exchange of a plan: the dealt rows are held, on disk where memory is short.
+    """
+    ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     bases = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

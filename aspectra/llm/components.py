@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import drop_written, written
+from aspectra.llm.common import drop_written, written_with
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -21,20 +21,21 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour points to the smallest of the neighbourhood."""
     near = _both_ways(edges)
     least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours point to the smallest of these."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
-def _print_of(edges: DataFrame) -> tuple:
-    """Number and order-free digest of the edges."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The distinct edges as a table, with their number and an order-free digest."""
+    out, seen = written_with(edges.distinct(), "edges", F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("digest"))
+    return out, (seen["n"], seen["digest"])
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -42,13 +43,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Self loops and repeated edges are allowed; null ends are dropped.
     """
-    now = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _print_of(now)
+    now, mark = _kept(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     for _ in range(rounds):
         if not mark[0]:
             break
-        then = written(_small_star(_large_star(now)), "edges")
-        seen = _print_of(then)
+        then, seen = _kept(_small_star(_large_star(now)))
         drop_written(now)
         now = then
         if seen == mark:

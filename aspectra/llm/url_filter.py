@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import drop_written, written
+from aspectra.llm.common import drop_written, written, written_with
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
@@ -89,9 +89,9 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float
             if i < together - 1:
                 now = parts.groupBy("kind", "node").agg(F.sum("value").alias("value"))
         both = parts.withColumn("before", F.lit(0.0)).unionByName(last)
-        then = written(both.groupBy("kind", "node").agg(F.sum("value").alias("value"), F.sum("before").alias("before")), "ranks")
-        open_ = then.where((F.col("value") > 0) & (F.abs(F.col("value") - F.col("before")) > tolerance * F.col("value")))
-        settled = open_.isEmpty()
+        open_ = (F.col("value") > 0) & (F.abs(F.col("value") - F.col("before")) > tolerance * F.col("value"))
+        then, seen = written_with(both.groupBy("kind", "node").agg(F.sum("value").alias("value"), F.sum("before").alias("before")), "ranks", F.count_if(open_).alias("open"))
+        settled = not seen["open"]
         if done:
             drop_written(value)
         value = then

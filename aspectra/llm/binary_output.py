@@ -227,7 +227,7 @@ def write_files(staged: DataFrame, block_ids: int | None = None) -> str:
     """
     spark, block_ids = staged.sparkSession, block_ids or BLOCK_IDS
     path = f"{shared_dir(spark)}/rans-{uuid.uuid4().hex}"
-    found = id_counts(staged).toPandas()
+    found = id_counts(staged).toArrow().to_pandas()
     coder = Table(found["id"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
     rows = pa.table({"version": pa.array([VERSION] * len(coder.ids), pa.int32()), "id": coder.ids, "slots": coder.freq.astype(np.int64)})
     spark.createDataFrame(rows).coalesce(1).write.parquet(f"{path}/table")
@@ -271,7 +271,7 @@ def write_files(staged: DataFrame, block_ids: int | None = None) -> str:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Decode the files of a folder: doc_id, where each document starts, its ids' number and their crc32."""
-    found = spark.read.schema("version int, id long, slots long").parquet(f"{path}/table").toPandas()
+    found = spark.read.schema("version int, id long, slots long").parquet(f"{path}/table").toArrow().to_pandas()
     if (found["version"] != VERSION).any():
         raise ValueError("files of another version")
     sent = spark.sparkContext.broadcast((path, found["id"].to_numpy(np.int64), found["slots"].to_numpy(np.int64)))

@@ -281,8 +281,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 12_
     if len(sizes) < 2:
         return Model([none] * (len(HEADS) + 1), constant=float(1 in sizes))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.where("toxic = 0").orderBy(*by_hash).limit(per_class).unionByName(known.where("toxic = 1").orderBy(*by_hash).limit(per_class))
-    chosen = docs.sparkSession.createDataFrame(chosen.toPandas().astype("int64"), "doc_id long, toxic long")
+
+    def first(label: int) -> DataFrame:
+        share = min(1.0, (1.2 * per_class + 1000) / sizes[label])  # the rest can't be among them, and need not be merged
+        return known.where((F.col("toxic") == label) & (by_hash[0] <= int(-(2**63) + share * (2**64 - 2048)))).orderBy(*by_hash).limit(per_class)
+
+    chosen = first(0).unionByName(first(1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("toxic")).toArrow()
+    chosen = docs.sparkSession.createDataFrame(chosen)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     # repeats of an id are reduced to one row within tasks
     sample = written(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxic-sample")
@@ -291,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 12_
     gain = F.abs(F.col("bad") / bad - F.col("good") / good) * F.sqrt(F.col("bad") + F.col("good"))
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("_gain"), "unit"))
     top = _counted(sample).where("bad + good >= 2").withColumn("_gain", gain).withColumn("_rank", rank).where(F.col("_rank") <= most_units)
-    found = top.select("kind", "unit", "parent", "bad", "good").toPandas()
+    found = top.select("kind", "unit", "parent", "bad", "good").toArrow().to_pandas()
     kinds, odds = [], {}
     for kind in range(len(HEADS) + 1):
         own = found[found.kind == kind]
@@ -325,7 +330,7 @@ def _features(model: Model, sample: DataFrame, columns: str) -> DataFrame:
 def _calibrate(model: Model, sample: DataFrame, sizes: dict[int, int]) -> None:
     """Fit the extreme-value law on clean texts, then the logistic curve on all, weighted to the true shares."""
     columns = "best double, n double, x1 double, x2 double, x3 double, toxic long"
-    found = _features(model, sample, columns).toPandas()
+    found = _features(model, sample, columns).toArrow().to_pandas()
     clean = found[(found.toxic == 0) & (found.best > 0) & (found.n >= 5)]
     if len(clean) >= 20:
         # best - ln(n)/scale is Gumbel with that scale: a fixed point of its spread
@@ -335,7 +340,7 @@ def _calibrate(model: Model, sample: DataFrame, sizes: dict[int, int]) -> None:
             scale = min(20.0, max(0.05, float(np.pi / (np.sqrt(6) * max(1e-6, rest.std())))))
         rest = clean.best - np.log(clean.n) / scale
         model.scale, model.shift = scale, float(rest.mean() * scale - 0.5772156649)
-    found = _features(model, sample, columns).toPandas()
+    found = _features(model, sample, columns).toArrow().to_pandas()
     x = np.column_stack([np.ones(len(found)), found.x1, found.x2, found.x3])
     y = found.toxic.to_numpy(float)
     shares = {k: sizes[k] / max(1, (y == k).sum()) for k in (0, 1)}

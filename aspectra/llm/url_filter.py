@@ -65,7 +65,7 @@ def domain_edges(hosts: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(1.0))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float = 1e-3, most: int = 4000, together: int = 6) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float = 5e-4, most: int = 4000, together: int = 3) -> DataFrame:
     """(kind, node, value): mass that stays with the seeds or follows shares of edges, until ``together`` rounds change no node's value by more than that share of it.
 
     A node reached for the first time is a change of its whole value, so chains

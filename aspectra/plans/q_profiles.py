@@ -155,54 +155,37 @@ def average_rank(t: Tables) -> DataFrame:
     return R.average_rank(t.facts, "aspect", "score", "average_rank").select("review_id", "aspect", r6("average_rank").alias("average_rank"))
 
 
-_REPEATS = 5
-_HALVES = "rep AS (SELECT unnest(range(5)) AS i), s AS (SELECT model_key, aspect, i, score, row_number() OVER (PARTITION BY model_key,aspect,i ORDER BY md5(CAST(review_id AS VARCHAR)||'|'||CAST(i AS VARCHAR)), review_id) AS rn, count(*) OVER (PARTITION BY model_key,aspect,i) AS n FROM facts, rep), h AS (SELECT model_key, aspect, i, avg(CASE WHEN rn<=n//2 THEN score END) AS a, avg(CASE WHEN rn>n//2 THEN score END) AS b FROM s WHERE n>=10 GROUP BY 1,2,3), r AS (SELECT *, rank() OVER (PARTITION BY aspect,i ORDER BY a)+(count(*) OVER (PARTITION BY aspect,i,a)-1)/2e0 AS ra, rank() OVER (PARTITION BY aspect,i ORDER BY b)+(count(*) OVER (PARTITION BY aspect,i,b)-1)/2e0 AS rb FROM h), c AS (SELECT aspect, i, corr(a,b) AS p, corr(ra,rb) AS s, avg(abs(a-b)) AS g, count(*) AS n FROM r GROUP BY 1,2)"
+_HALVES = f"rep AS (SELECT unnest(range({SPLIT_REPEATS})) AS i), s AS (SELECT model_key, aspect, i, score, row_number() OVER (PARTITION BY model_key,aspect,i ORDER BY md5(CAST(review_id AS VARCHAR)||'|'||CAST(i AS VARCHAR)), review_id) AS rn, count(*) OVER (PARTITION BY model_key,aspect,i) AS n FROM facts, rep), h AS (SELECT model_key, aspect, i, avg(CASE WHEN rn<=n//2 THEN score END) AS a, avg(CASE WHEN rn>n//2 THEN score END) AS b FROM s WHERE n>=10 GROUP BY 1,2,3), r AS (SELECT *, rank() OVER (PARTITION BY aspect,i ORDER BY a)+(count(*) OVER (PARTITION BY aspect,i,a)-1)/2e0 AS ra, rank() OVER (PARTITION BY aspect,i ORDER BY b)+(count(*) OVER (PARTITION BY aspect,i,b)-1)/2e0 AS rb FROM h), c AS (SELECT aspect, i, corr(a,b) AS p, corr(ra,rb) AS s, avg(abs(a-b)) AS g, count(*) AS n FROM r GROUP BY 1,2)"
 _SPLIT = f"WITH {_HALVES} SELECT aspect, max(n) AS products, round(avg(s),6) AS spearman, round(2*avg(s)/(1+avg(s)),6) AS spearman_brown, round(avg(p),6) AS pearson, round(avg(g),6) AS mean_abs_gap FROM c GROUP BY 1"
 _VERDICT = "CASE WHEN {v}>=0.8 THEN 'strong' WHEN {v}>=0.6 THEN 'usable' WHEN {v}>=0.4 THEN 'weak' ELSE 'NOISE' END"
 
 
-def _verdicts(t: Tables, repeats: int) -> DataFrame:
-    out = R.split_half(t.facts, FLOOR, repeats)
+def _verdicts(t: Tables) -> DataFrame:
+    out = R.split_half(t.facts, FLOOR)
     return out.select("aspect", r6("spearman_brown").alias("spearman_brown"), ladder(F.col("spearman_brown"), *RELIABILITY).alias("verdict"))
 
 
-def _halves(t: Tables, repeats: int) -> DataFrame:
-    out = R.split_half(t.facts, FLOOR, repeats)
+def _halves(t: Tables) -> DataFrame:
+    out = R.split_half(t.facts, FLOOR)
     return out.select("aspect", "products", *(r6(c).alias(c) for c in ("spearman", "spearman_brown", "pearson", "mean_abs_gap")))
 
 
-def _gate(t: Tables, repeats: int) -> DataFrame:
-    both = R.split_half(t.facts, FLOOR, repeats).select("aspect", "spearman_brown").join(R.star_baseline(t.facts, FLOOR).select("aspect", "r_squared"), "aspect")
+def _gate(t: Tables) -> DataFrame:
+    both = R.split_half(t.facts, FLOOR).select("aspect", "spearman_brown").join(R.star_baseline(t.facts, FLOOR).select("aspect", "r_squared"), "aspect")
     usable, redundant = F.count_if(F.col("spearman_brown") >= 0.6), F.count_if(F.col("r_squared") >= 0.9)
     out = both.agg(usable.alias("usable_axes"), redundant.alias("redundant_axes"), F.count("*").alias("axes"))
     return out.select(F.when(F.col("usable_axes") == 0, "FAIL").when(F.col("redundant_axes") > 0, "PARTIAL").otherwise("PASS").alias("verdict"), "usable_axes", "redundant_axes", "axes")
 
 
-@query()
-def split_half_full(t: Tables) -> DataFrame:
-    """Over as many halvings as the reference has; :func:`split_half` and the verdicts on it have their twins' 5."""
-    return _halves(t, SPLIT_REPEATS)
-
-
-@query()
-def reliability_verdicts_full(t: Tables) -> DataFrame:
-    return _verdicts(t, SPLIT_REPEATS)
-
-
-@query()
-def gate_verdict_full(t: Tables) -> DataFrame:
-    return _gate(t, SPLIT_REPEATS)
-
-
 @query(sql("facts", _SPLIT))
 def split_half(t: Tables) -> DataFrame:
     """Reliability of product means over random halvings."""
-    return _halves(t, _REPEATS)
+    return _halves(t)
 
 
 @query(sql("facts", f"SELECT aspect, spearman_brown, {_VERDICT.format(v='spearman_brown')} AS verdict FROM (SPLIT)").replace("WITH facts", "WITH facts").replace("(SPLIT)", f"({_SPLIT})"))
 def reliability_verdicts(t: Tables) -> DataFrame:
-    return _verdicts(t, _REPEATS)
+    return _verdicts(t)
 
 
 _N1, _N2 = (f"greatest({uniform(repr('KEY'), s)},1e-12)".replace("CAST('KEY' AS VARCHAR)", "aspect||'-'||CAST(i AS VARCHAR)||'-'||CAST(p AS VARCHAR)") for s in ("n1", "n2"))
@@ -225,7 +208,7 @@ def null_comparison(t: Tables) -> DataFrame:
 @query(sql("cells", f"WITH {_HALVES}, rel AS (SELECT aspect, 2*avg(s)/(1+avg(s)) AS sb FROM c GROUP BY 1), {_STARS.replace('c AS', 'c2 AS').replace('FROM c JOIN', 'FROM c2 JOIN').replace('ON s.model_key=c.', 'ON s.model_key=c2.').replace('r AS (SELECT *', 'r2 AS (SELECT *')}, st AS (SELECT aspect, corr(x,y)*corr(x,y) AS r2 FROM j GROUP BY 1) SELECT CASE WHEN sum(CASE WHEN sb>=0.6 THEN 1 ELSE 0 END)=0 THEN 'FAIL' WHEN sum(CASE WHEN r2>=0.9 THEN 1 ELSE 0 END)>0 THEN 'PARTIAL' ELSE 'PASS' END AS verdict, CAST(sum(CASE WHEN sb>=0.6 THEN 1 ELSE 0 END) AS BIGINT) AS usable_axes, CAST(sum(CASE WHEN r2>=0.9 THEN 1 ELSE 0 END) AS BIGINT) AS redundant_axes, count(*) AS axes FROM rel JOIN st ON st.aspect=rel.aspect"))
 def gate_verdict(t: Tables) -> DataFrame:
     """Whether the profiles are fit to rank on."""
-    return _gate(t, _REPEATS)
+    return _gate(t)
 
 
 _TRUTH = "1+9*least(15e0*(0.5e0+((3*CAST(model_key AS BIGINT)+5*(CASE aspect WHEN 'battery' THEN 0 WHEN 'camera' THEN 1 WHEN 'price' THEN 2 WHEN 'display' THEN 3 ELSE 4 END))%7)/6e0),100e0)/100e0"

@@ -81,4 +81,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from aspectra.llm.secrets_sql import twin
+
+    return {"op10_secrets": twin()}

@@ -6,7 +6,7 @@ only where a complementary part lies in scope, no more than ``SCOPE`` code
 points away: an identifier next to a secret, a secret next to an identifier, an
 endpoint next to a secret that is reported itself. The link is an interval join: parts are entered in
 buckets of positions, reduced to one row for each text, class and bucket, and
-candidates look at their own buckets and the next. No pairs are emitted.
+candidates look at all buckets in their scope. No pairs are emitted.
 
 Texts with a match are keyed by their digest and searched once each, so copies
 cost nothing and ids need be neither unique nor there. Positions count code
@@ -55,9 +55,10 @@ def _matches(texts: DataFrame, kind: str, order: int, pattern: str, part: str) -
     return rows.select("digest", F.lit(kind).alias("kind"), F.lit(order).alias("ord"), F.lit(part).alias("part"), (end - F.length("m.value")).cast("int").alias("start"), end.cast("int").alias("end"), F.col("m.value").alias("value"))
 
 
-def _buckets(rows: DataFrame, beyond: int = 0) -> DataFrame:
-    """A row for each bucket that a span touches, and ``beyond`` further ones on both sides."""
-    return rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / SCOPE) - beyond, F.floor(F.greatest(F.col("end") - 1, "start") / SCOPE) + beyond)))
+def _buckets(rows: DataFrame, reach: int = 0) -> DataFrame:
+    """A row for each bucket that a span, or a place up to ``reach`` from its first or last one, touches."""
+    first, last = F.col("start") - reach, F.greatest(F.col("end") - 1, "start") + reach
+    return rows.withColumn("bucket", F.explode(F.sequence(F.floor(first / SCOPE), F.floor(last / SCOPE))))
 
 
 def spans_of(texts: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def _linked(weak: DataFrame, parts: DataFrame) -> DataFrame:
     """Weak candidates with a part of the class that they need in scope."""
     near = _buckets(parts.select("digest", "part", "start", "end")).groupBy("digest", F.col("part").alias("needed"), "bucket").agg(F.min("start").alias("first"), F.max("end").alias("last"))
     needed = reduce(lambda c, k: F.when(F.col("part") == k, NEEDS[k]).otherwise(c), NEEDS, F.lit(None).cast("string"))
-    met = _buckets(weak.withColumn("needed", needed), 1).join(near, ["digest", "needed", "bucket"])
+    met = _buckets(weak.withColumn("needed", needed), SCOPE + 1).join(near, ["digest", "needed", "bucket"])
     met = met.where((F.col("first") - F.col("end") <= SCOPE) & (F.col("start") - F.col("last") <= SCOPE))
     return met.select(*weak.columns).distinct()
 

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
+import duckdb
 import pytest
 from tests.llm.helpers import ODD, docs_of
 
-from aspectra.llm import secrets, url_filter
+from aspectra.llm import secrets, secrets_sql, url_filter
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 TEXTS = [
@@ -47,6 +49,33 @@ def test_plan_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def random_texts(n, seed=5):
+    """Texts of parts, near and far, some at exactly the scope, wherever they start."""
+    rng = random.Random(seed)
+    weak = "Ab3" + "x9" * 12
+    parts = ["AKIA" + "Q" * 17, "AKIA12", "token=abcdefgh", "Api_Key: 'zz99zz99'", "passwd=abc", "deadbeef" * 4, weak, f"{weak}==", "n" * 24, "2024-01-02/" * 3, "client_id=abcd1234", "USER: bob9", "url=https://a.b/c", "redis://h:1/x", "Host: abcd", "jdbc:pg://q", "ſecret=abcdef", "toKen=abcdef", "é😀", "\x0b", "\n"]
+    for _ in range(n):
+        text = "." * rng.randrange(0, 420)
+        for _ in range(rng.randrange(1, 6)):
+            text += rng.choice(parts) + rng.choice([" ", "", "." * rng.choice([150, 198, 199, 200, 201, 202, 300])])
+        yield text
+    for lead in range(0, 400, 20):
+        for gap in (199, 200, 201):
+            yield "." * (lead + 2) + "client_id=abcd1234" + " " * gap + weak
+            yield "." * lead + " " + weak + " " * gap + "client_id=abcd1234"
+
+
+def test_scan_is_that_of_the_twin(spark):
+    texts = [*TEXTS, *ODD, *random_texts(400)]
+    df = docs_of(spark, texts).unionByName(docs_of(spark, texts[:5], 10**6))
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = {r[0]: r[1:] for r in con.execute(secrets_sql.twin()).fetchall()}
+    got = {r[0]: tuple(r[1:]) for r in secrets.scan(df).collect()}
+    assert len(want) == len(texts) + 5
+    assert {i: (texts[i % 10**6], got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
 def test_masking(spark):
     texts = TEXTS + ODD
     df = docs_of(spark, texts)

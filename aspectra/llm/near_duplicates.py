@@ -47,10 +47,9 @@ LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256)
 _rng = np.random.default_rng(90210)
 PLACES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEPS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Sets on either side of a block; members from which a list of unrelated documents is divided, and how often.
+#: Sets on either side of a block; members from which a list of unrelated documents is divided by a second run.
 BLOCK = 256
 LONG_LIST = 2048
-DIVISIONS = 3
 #: Class ids that may be broadcast to find the texts of candidates; beyond, a shuffled join does it.
 BROADCAST_IDS = 1_000_000
 
@@ -234,16 +233,17 @@ class Search:
         keyed = self.classes.where("n_shingles >= 4").select("cls", "n_shingles", F.explode(run_keys(F.col("sketch"), F.col("n_shingles"))).alias("key"))
         lists = self.shared(keyed)
         self.merge(self.verified(written(self.starred(lists), "pairs")))
-        for division in range(DIVISIONS + 1):
-            open_ = self.open_lists(lists)
-            unrelated = (F.col("m") > LONG_LIST) & (F.col("top") * 2 < F.col("m")) if division < DIVISIONS else F.lit(False)
-            near = self.compared(open_.where(~unrelated))
-            long = open_.where(unrelated)
-            if long.isEmpty():
-                self.merge(near)
-                break
-            lists = self.divided(long)
-            self.merge(near.unionByName(self.verified(written(self.starred(lists), "pairs"))))
+        open_ = self.open_lists(lists)
+        unrelated = (F.col("m") > LONG_LIST) & (F.col("top") * 2 < F.col("m"))
+        near = self.compared(open_.where(~unrelated))
+        long = open_.where(unrelated)
+        if long.isEmpty():
+            self.merge(near)
+            return self.roots
+        # two runs tell most apart; a further one would leave the lists as they are, as one of the two is in each
+        lists = self.divided(long)
+        self.merge(near.unionByName(self.verified(written(self.starred(lists), "pairs"))))
+        self.merge(self.compared(self.open_lists(lists)))
         return self.roots
 
     def shared(self, keyed: DataFrame) -> DataFrame:

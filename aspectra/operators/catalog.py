@@ -51,18 +51,23 @@ def sample_n(df: DataFrame, id_: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.col(id_).cast("string"), F.lit(f"|{seed}")).cast("binary")), id_).limit(n)
 
 
-def enumerate_rows(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Consecutive numbers in an order, without one task for all rows: counts by range, then places within.
+def running_total(df: DataFrame, order: list[Column | str], amount: Column, name: str) -> DataFrame:
+    """Sum of ``amount`` up to and with each row in an order, without one task for all rows: sums by range, then within.
 
     Both parts must see the same ranges, whose bounds are sampled anew for each
     exchange of a plan: the dealt rows are held, on disk where memory is short.
     """
-    ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    ranged = df.repartitionByRange(*order).withColumns({"_p": F.spark_partition_id(), "_amount": amount}).persist(StorageLevel.MEMORY_AND_DISK)
+    sums = ranged.groupBy("_p").agg(F.sum("_amount").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    bases = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    return ranged.withColumn("_r", inside).join(F.broadcast(bases), "_p").withColumn(name, F.col("_base") + F.col("_r")).drop("_p", "_r", "_base")
+    bases = sums.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.sum("_amount").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_r", inside).join(F.broadcast(bases), "_p").withColumn(name, F.col("_base") + F.col("_r")).drop("_p", "_r", "_base", "_amount")
+
+
+def enumerate_rows(df: DataFrame, order: str | list[Column], name: str) -> DataFrame:
+    """Consecutive numbers in an order, from 1."""
+    return running_total(df, [order] if isinstance(order, str) else order, F.lit(1).cast("long"), name)
 
 
 def primary_listing(listings: DataFrame, reviews: DataFrame) -> DataFrame:

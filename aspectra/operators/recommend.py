@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aspectra.constants import AXES
 from aspectra.functions.scores import match_percent, shortfall, worst_axis
+from aspectra.operators.catalog import enumerate_rows
 
 
 def checked(requirement: dict[str, float]) -> dict[str, float]:
@@ -34,10 +35,12 @@ def order_keys(decimals: int = 1) -> list[Column]:
 
 
 def rank(profiles: DataFrame, requirement: dict[str, float], limit: int = 10, decimals: int = 1) -> DataFrame:
-    """The best matches first: a projection and a top-n, without a shuffle of the profiles. limit 0: all."""
+    """The best matches first: a projection and a top-n, without a shuffle of the profiles. limit 0: all, numbered by ranges."""
     needs = [F.lit(float(checked(requirement)[a])) for a in AXES]
-    out = matched(profiles, needs).orderBy(*order_keys(decimals))
-    out = out.limit(limit) if limit else out
+    out = matched(profiles, needs)
+    if not limit:
+        return enumerate_rows(out, order_keys(decimals), "rank")
+    out = out.orderBy(*order_keys(decimals)).limit(limit)
     return out.withColumn("rank", F.row_number().over(Window.orderBy(*order_keys(decimals))).cast("long"))
 
 

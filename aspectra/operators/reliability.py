@@ -7,17 +7,27 @@ from pyspark.sql import functions as F
 
 from aspectra.constants import SPLIT_REPEATS
 from aspectra.functions.scores import hash_uniform
+from aspectra.operators.catalog import running_total
 from aspectra.operators.profiles import cell_means
 
 
 def average_rank(df: DataFrame, group: str | list[str], value: str, name: str) -> DataFrame:
-    """Ranks within groups; ties share the mean of their places."""
+    """Ranks within groups; ties share the mean of their places. Windows over each group's rows: for rows of products."""
     groups = [group] if isinstance(group, str) else group
     place = F.rank().over(Window.partitionBy(*groups).orderBy(value))
     ties = F.count("*").over(Window.partitionBy(*groups, value))
     return df.withColumn(name, place + (ties - 1) / 2)
 
 
+def average_rank_of_many(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """The same for any number of rows in a few groups: distinct values are counted, and their counts summed by ranges."""
+    counts = df.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = running_total(counts, ["_g", "_v"], F.col("_c"), "_upto")
+    starts = upto.groupBy(F.col("_g").alias("_of")).agg(F.min(F.col("_upto") - F.col("_c")).alias("_start"))
+    places = upto.join(starts, F.col("_g").eqNullSafe(F.col("_of"))).select("_g", "_v", (F.col("_upto") - F.col("_start") - (F.col("_c") - 1) / 2).alias(name))
+    return df.join(places, F.col(group).eqNullSafe(F.col("_g")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_v")
+
+
 def agreement(df: DataFrame) -> DataFrame:
     """Pearson, Spearman and mean gap of x and y by aspect."""
     ranked = average_rank(average_rank(df, "aspect", "x", "rx"), "aspect", "y", "ry")

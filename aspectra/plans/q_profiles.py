@@ -152,7 +152,7 @@ def star_baseline(t: Tables) -> DataFrame:
 
 @query(sql("facts", "SELECT review_id, aspect, round(rank() OVER (PARTITION BY aspect ORDER BY score)+(count(*) OVER (PARTITION BY aspect,score)-1)/2e0,6) AS average_rank FROM facts"))
 def average_rank(t: Tables) -> DataFrame:
-    return R.average_rank(t.facts, "aspect", "score", "average_rank").select("review_id", "aspect", r6("average_rank").alias("average_rank"))
+    return R.average_rank_of_many(t.facts, "aspect", "score", "average_rank").select("review_id", "aspect", r6("average_rank").alias("average_rank"))
 
 
 _HALVES = f"rep AS (SELECT unnest(range({SPLIT_REPEATS})) AS i), s AS (SELECT model_key, aspect, i, score, row_number() OVER (PARTITION BY model_key,aspect,i ORDER BY md5(CAST(review_id AS VARCHAR)||'|'||CAST(i AS VARCHAR)), review_id) AS rn, count(*) OVER (PARTITION BY model_key,aspect,i) AS n FROM facts, rep), h AS (SELECT model_key, aspect, i, avg(CASE WHEN rn<=n//2 THEN score END) AS a, avg(CASE WHEN rn>n//2 THEN score END) AS b FROM s WHERE n>=10 GROUP BY 1,2,3), r AS (SELECT *, rank() OVER (PARTITION BY aspect,i ORDER BY a)+(count(*) OVER (PARTITION BY aspect,i,a)-1)/2e0 AS ra, rank() OVER (PARTITION BY aspect,i ORDER BY b)+(count(*) OVER (PARTITION BY aspect,i,b)-1)/2e0 AS rb FROM h), c AS (SELECT aspect, i, corr(a,b) AS p, corr(ra,rb) AS s, avg(abs(a-b)) AS g, count(*) AS n FROM r GROUP BY 1,2)"

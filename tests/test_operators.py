@@ -159,6 +159,16 @@ def test_resampling_is_whole(spark):
     assert reliability.split_half(facts, 10).collect() == reliability.split_half(facts, 10, 25).collect() != reliability.split_half(facts, 10, 5).collect()
 
 
+def test_ranks_by_counts_are_those_by_rows(spark):
+    from aspectra.operators import reliability
+
+    rows = [(i, ("a", "b", None)[i % 3], None if i % 11 == 0 else float(i * i % 17)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    want = {r.id: r.place for r in reliability.average_rank(df, "g", "v", "place").collect()}
+    assert {r.id: r.place for r in reliability.average_rank_of_many(df, "g", "v", "place").collect()} == want
+    assert len(want) == 300
+
+
 def test_bootstrap_of_any_metric(spark):
     rows = [(i, i % 3, i % 3 if i % 4 else 0, i % 3 if i % 5 else 1) for i in range(90)]
     df = spark.createDataFrame(rows, "id int, y int, a int, b int")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a batch between the JVM and a Python worker; wide rows then do not pile up.
@@ -62,10 +62,13 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def written_with(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
-    """As :func:`written`, with aggregates of all rows that the writing itself takes, without another job."""
-    seen = Observation()
-    out = written(df.observe(seen, *measures), name)
-    return out, seen.get
+    """As :func:`written`, with aggregates of the rows that were written.
+
+    They are read from the table, so a task that runs twice counts once and the
+    session holds nothing that fitted models could take along.
+    """
+    out = written(df, name)
+    return out, out.agg(*measures).first().asDict()
 
 
 def drop_written(df: DataFrame) -> None:

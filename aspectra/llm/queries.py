@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from aspectra.llm.common import table
 
@@ -76,11 +77,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aspectra.llm.quality import measured
+
+    return measured(table(spark, sf_dir, "documents")).withColumn("failed_rules", F.array_join("failed_rules", ","))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_bpe, op4_minhash, op5_pivot_index, op6_packing, op7_language, op8_matroska, op9_rans_output, op10_secrets)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_bpe, op4_minhash, op5_pivot_index, op6_packing, op7_language, op8_matroska, op9_rans_output, op10_secrets, op13_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from aspectra.llm.secrets_sql import twin
+    from aspectra.llm import quality_sql, secrets_sql
 
-    return {"op10_secrets": twin()}
+    return {"op10_secrets": secrets_sql.twin(), "op13_quality": quality_sql.twin()}

@@ -77,6 +77,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aspectra.llm.vector_codes import encode
+
+    return encode(table(spark, sf_dir, "embeddings"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aspectra.llm.fill_in_middle import digests
 
@@ -90,10 +96,10 @@ def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_bpe, op4_minhash, op5_pivot_index, op6_packing, op7_language, op8_matroska, op9_rans_output, op10_secrets, op12_fill_in_middle, op13_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_bpe, op4_minhash, op5_pivot_index, op6_packing, op7_language, op8_matroska, op9_rans_output, op10_secrets, op11_vector_codes, op12_fill_in_middle, op13_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from aspectra.llm import fill_in_middle, quality_sql, secrets_sql
+    from aspectra.llm import fill_in_middle, quality_sql, secrets_sql, vector_codes
 
-    return {"op10_secrets": secrets_sql.twin(), "op12_fill_in_middle": fill_in_middle.twin(), "op13_quality": quality_sql.twin()}
+    return {"op10_secrets": secrets_sql.twin(), "op11_vector_codes": vector_codes.twin(), "op12_fill_in_middle": fill_in_middle.twin(), "op13_quality": quality_sql.twin()}

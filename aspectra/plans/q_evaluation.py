@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aspectra.constants import BOOTSTRAP_DRAWS
 from aspectra.functions import scores as S
 from aspectra.functions.scores import r6, ratio0
 from aspectra.operators import evaluation as E
@@ -139,11 +140,41 @@ def nll_grid(t: Tables) -> DataFrame:
     return E.nll(t.probs, ["l0", "l1", "l2"], "y", E.grid(t.spark, 0.25, 0.25, 20, "t")).select("t", r6("nll").alias("nll"))
 
 
-@query()
+def _draws_sql(sums: str, difference: str) -> str:
+    """The interval of a difference over all draws: every row's weight in every draw, by the same mixed bits."""
+    bits = lambda key, seed: f"CAST(('0x'||substr(md5(CAST({key} AS VARCHAR)||'|{seed}'),1,8)) AS UBIGINT)"
+    x = "x0"
+    steps = []
+    for i, (shift, factor) in enumerate(((16, E.MIX[0]), (13, E.MIX[1]), (16, 1))):
+        steps.append(f"SELECT * EXCLUDE ({x}), (xor({x},{x}>>{shift})*CAST({factor} AS UBIGINT))%CAST(4294967296 AS UBIGINT) AS x{i + 1} FROM")
+        x = f"x{i + 1}"
+    mixed = f"(SELECT draw, y, pred_a, pred_b, xor(h,hd) AS x0 FROM (SELECT {bits('review_id', 'boot')} AS h, y, pred_a, pred_b FROM preds), (SELECT i AS draw, {bits('i', 'draw')} AS hd FROM (SELECT unnest(range({BOOTSTRAP_DRAWS})) AS i)))"
+    for step in steps:
+        mixed = f"({step} {mixed})"
+    weight = "+".join(f"CAST(x3/4294967296e0>={e!r}e0 AS INTEGER)" for e in E.POISSON)
+    drawn = f"SELECT draw, {difference} AS diff FROM (SELECT draw, {sums} FROM (SELECT draw, y, pred_a, pred_b, {weight} AS w FROM {mixed}) GROUP BY 1)"
+    return f"SELECT round(lower,6) AS lower, round(upper,6) AS upper, round(mean_diff,6) AS mean_diff, draws, CASE WHEN lower<=0 AND upper>=0 THEN 'no difference' WHEN lower>0 THEN 'better' ELSE 'worse' END AS verdict FROM (SELECT quantile_cont(diff,0.025) AS lower, quantile_cont(diff,0.975) AS upper, avg(diff) AS mean_diff, count(*) AS draws FROM ({drawn}))"
+
+
+def _interval(draws: DataFrame) -> DataFrame:
+    return E.interval(draws).select(*(r6(c).alias(c) for c in ("lower", "upper", "mean_diff")), "draws", "verdict")
+
+
+_ALL_RIGHT = "sum(w) AS n, sum(CASE WHEN pred_a=y THEN w ELSE 0 END) AS a, sum(CASE WHEN pred_b=y THEN w ELSE 0 END) AS b"
+_BY_CLASS = ", ".join(f"sum(CASE WHEN y={k} THEN w ELSE 0 END) AS y{k}, " + ", ".join(f"sum(CASE WHEN {p}={k} THEN w ELSE 0 END) AS {p}{k}, sum(CASE WHEN {p}={k} AND y={k} THEN w ELSE 0 END) AS {p}{k}r" for p in ("pred_a", "pred_b")) for k in range(3))
+_F1S = "(" + "+".join(f"coalesce(2e0*pred_b{k}r/nullif(CAST(y{k}+pred_b{k} AS DOUBLE),0),0)-coalesce(2e0*pred_a{k}r/nullif(CAST(y{k}+pred_a{k} AS DOUBLE),0),0)" for k in range(3)) + ")/3e0"
+
+
+@query(sql("preds", _draws_sql(_ALL_RIGHT, "(b-a)/CAST(n AS DOUBLE)")))
 def paired_bootstrap(t: Tables) -> DataFrame:
-    """Interval of the difference of two models' accuracy over 5000 draws; so many of all rows are too slow in SQL, so tests hold it against drawn rows."""
-    ok = t.predictions.select((F.col("pred_a") == F.col("y")).cast("int").alias("ok_a"), (F.col("pred_b") == F.col("y")).cast("int").alias("ok_b"))
-    return E.interval(E.bootstrap_counts(ok)).select(*(r6(c).alias(c) for c in ("lower", "upper", "mean_diff")), "draws", "verdict")
+    """Interval of the difference of two models' accuracy over 5000 draws of all rows."""
+    return _interval(E.bootstrap(t.predictions, "review_id", "y", "pred_a", "pred_b"))
+
+
+@query(sql("preds", _draws_sql(_BY_CLASS, _F1S)))
+def paired_bootstrap_f1(t: Tables) -> DataFrame:
+    """The same of macro F1."""
+    return _interval(E.bootstrap(t.predictions, "review_id", "y", "pred_a", "pred_b", E.macro_f1(3)))
 
 
 @query(sql("preds", "SELECT label, n, round((1e0/n)/avg(1e0/n) OVER (),6) AS weight FROM (SELECT CAST(y AS INTEGER) AS label, count(*) AS n FROM preds GROUP BY 1)"))

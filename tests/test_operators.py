@@ -112,8 +112,8 @@ def test_temperature_of_overconfident_logits_is_above_one(spark):
 
 
 def test_equal_models_differ_by_nothing(spark):
-    df = spark.createDataFrame([(i, i % 2, i % 2) for i in range(50)], "id int, ok_a int, ok_b int")
-    r = evaluation.interval(evaluation.bootstrap(df, "id", 20)).first()
+    df = spark.createDataFrame([(i, i % 3, i % 2, i % 2) for i in range(50)], "id int, y int, a int, b int")
+    r = evaluation.interval(evaluation.bootstrap(df, "id", "y", "a", "b", draws=20)).first()
     assert (r.lower, r.upper, r.verdict) == (0.0, 0.0, "no difference")
 
 
@@ -147,13 +147,13 @@ def test_resampling_is_whole(spark):
 
     rng = np.random.default_rng(2)
     a, b = rng.random(300) < 0.70, rng.random(300) < 0.75
-    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "ok_a int, ok_b int")
-    got = evaluation.interval(evaluation.bootstrap_counts(df)).first()
+    df = spark.createDataFrame([(i, 1, int(x), int(y)) for i, (x, y) in enumerate(zip(a, b))], "id int, y int, a int, b int")
+    got = evaluation.interval(evaluation.bootstrap(df, "id", "y", "a", "b")).first()
     d = b.astype(int) - a.astype(int)
     want = np.percentile([d[rng.integers(0, 300, 300)].mean() for _ in range(5000)], [2.5, 97.5])
     assert got.draws == 5000
     assert (got.lower, got.upper) == pytest.approx(tuple(want), abs=0.008)
-    assert evaluation.bootstrap_counts(df.limit(0)).count() == 0
+    assert evaluation.bootstrap(df.limit(0), "id", "y", "a", "b").count() == 0
     rows = [(f"m{k}", f"r{k}-{i}", "battery", float(rng.normal(k, 2))) for k in range(8) for i in range(12)]
     facts = spark.createDataFrame(rows, "model_key string, review_id string, aspect string, score double")
     assert reliability.split_half(facts, 10).collect() == reliability.split_half(facts, 10, 25).collect() != reliability.split_half(facts, 10, 5).collect()
@@ -170,23 +170,31 @@ def test_ranks_by_counts_are_those_by_rows(spark):
 
 
 def test_bootstrap_of_any_metric(spark):
+    """Against sums over rows with the weights of their bits, in any dealing; tasks send a row for each draw."""
+    import hashlib
+
+    import numpy as np
+
     rows = [(i, i % 3, i % 3 if i % 4 else 0, i % 3 if i % 5 else 1) for i in range(90)]
-    df = spark.createDataFrame(rows, "id int, y int, a int, b int")
-    ok = df.select("id", (F.col("a") == F.col("y")).cast("int").alias("ok_a"), (F.col("b") == F.col("y")).cast("int").alias("ok_b"))
-    plain = {r.draw: r["diff"] for r in evaluation.bootstrap(ok, "id", 8).collect()}
-    assert {r.draw: r["diff"] for r in evaluation.bootstrap_metric(df, "id", "y", "a", "b", draws=8).collect()} == pytest.approx(plain)
-    weights = {(r.id, r.draw): r.w for r in df.select("id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("draw")).withColumn("w", evaluation.draw_weight(F.col("id"), F.col("draw"))).collect()}
+    df = spark.createDataFrame([*rows, (None, 1, None, 1)], "id int, y int, a int, b int").where("id is not null").repartition(3)
+    ids = np.array([int(hashlib.md5(f"{r[0]}|boot".encode()).hexdigest()[:8], 16) for r in rows])
+    weights = evaluation.draw_weights(ids, np.array([evaluation.draw_bits(d) for d in range(300)]))
+    assert abs(weights.mean() - 1) < 0.02 and abs(weights.var() - 1) < 0.05
+    assert abs(np.corrcoef(weights[:, :40].T.astype(float))[np.triu_indices(40, 1)].mean()) < 0.02
 
     def f1(pred, draw):
         parts = []
         for k in range(4):
-            hit = sum(weights[r[0], draw] for r in rows if r[1] == k and r[pred] == k)
-            every = sum(weights[r[0], draw] * ((r[1] == k) + (r[pred] == k)) for r in rows)
+            hit = sum(w for r, w in zip(rows, weights[:, draw].tolist()) if r[1] == k and r[pred] == k)
+            every = sum(w * ((r[1] == k) + (r[pred] == k)) for r, w in zip(rows, weights[:, draw].tolist()))
             parts.append(2 * hit / every if every else 0)
         return sum(parts) / 4
 
-    got = {r.draw: r["diff"] for r in evaluation.bootstrap_metric(df, "id", "y", "a", "b", evaluation.macro_f1_metric(4), 8).collect()}
-    assert got == pytest.approx({d: f1(3, d) - f1(2, d) for d in range(8)})
+    right = lambda pred, draw: sum(w for r, w in zip(rows, weights[:, draw].tolist()) if r[1] == r[pred]) / int(weights[:, draw].sum())
+    got = {r.draw: r["diff"] for r in evaluation.bootstrap(df, "id", "y", "a", "b", evaluation.macro_f1(4), 300).collect()}
+    assert got == pytest.approx({d: f1(3, d) - f1(2, d) for d in range(300)})
+    got = {r.draw: r["diff"] for r in evaluation.bootstrap(df, "id", "y", "a", "b", draws=300).collect()}
+    assert got == pytest.approx({d: right(3, d) - right(2, d) for d in range(300)})
 
 
 def test_synthetic_reviews_carry_their_labels(spark):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,29 +14,37 @@ from aspectra.constants import SPLIT_REPEATS
 from aspectra.functions.scores import hash_uniform
 from aspectra.operators.catalog import running_total
 from aspectra.operators.profiles import cell_means
+from aspectra.sources.shared import arrow_map, whole_groups, written
+
+#: Scores of a cell that meet in one task at most, and bits of the random keys by which larger ones are cut.
+LARGE_CELL, BIN_BITS = 100_000, 12
+HALVES = "model_key string, aspect string, i int, a double, b double"
 
 
 def average_rank(df: DataFrame, group: str | list[str], value: str, name: str) -> DataFrame:
-    """Ranks within groups; ties share the mean of their places. Windows over each group's rows: for rows of products."""
+    """Ranks within groups; ties share the mean of their places. Any number of rows in a few groups: distinct values are counted, and their counts summed by ranges."""
     groups = [group] if isinstance(group, str) else group
-    place = F.rank().over(Window.partitionBy(*groups).orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(*groups, value))
-    return df.withColumn(name, place + (ties - 1) / 2)
-
-
-def average_rank_of_many(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """The same for any number of rows in a few groups: distinct values are counted, and their counts summed by ranges."""
-    counts = df.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    counts = df.groupBy(F.struct(*groups).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     upto = running_total(counts, ["_g", "_v"], F.col("_c"), "_upto")
     starts = upto.groupBy(F.col("_g").alias("_of")).agg(F.min(F.col("_upto") - F.col("_c")).alias("_start"))
     places = upto.join(starts, F.col("_g").eqNullSafe(F.col("_of"))).select("_g", "_v", (F.col("_upto") - F.col("_start") - (F.col("_c") - 1) / 2).alias(name))
-    return df.join(places, F.col(group).eqNullSafe(F.col("_g")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_v")
+    return df.join(places, F.struct(*groups).eqNullSafe(F.col("_g")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_v")
+
+
+def correlations(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
+    """Pearson, Spearman, mean gap and number of (x, y) in each group; both columns are ranked in one pass."""
+    rows = df.select(*groups, F.col(x).alias("_x"), F.col(y).alias("_y"), F.monotonically_increasing_id().alias("_row"))
+    rows = written(rows, "pairs")
+    sides = F.array(*(F.struct(F.lit(i).alias("_side"), F.col(c).alias("_value")) for i, c in enumerate(("_x", "_y"))))
+    ranked = average_rank(rows.select(*groups, "_row", F.inline(sides)), [*groups, "_side"], "_value", "_rank")
+    side = lambda c, i: F.max(F.when(F.col("_side") == i, F.col(c)))
+    pairs = ranked.groupBy(*groups, "_row").agg(side("_value", 0).alias("_x"), side("_value", 1).alias("_y"), side("_rank", 0).alias("_rx"), side("_rank", 1).alias("_ry"))
+    return pairs.groupBy(*groups).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("pearson"), F.corr("_rx", "_ry").alias("spearman"), F.avg(F.abs(F.col("_x") - F.col("_y"))).alias("mean_abs_gap"))
 
 
 def agreement(df: DataFrame) -> DataFrame:
     """Pearson, Spearman and mean gap of x and y by aspect."""
-    ranked = average_rank(average_rank(df, "aspect", "x", "rx"), "aspect", "y", "ry")
-    return ranked.groupBy("aspect").agg(F.count("*").alias("products"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_abs_gap"))
+    return correlations(df, ["aspect"], "x", "y").withColumnRenamed("n", "products")
 
 
 def star_baseline(facts: DataFrame, floor: int) -> DataFrame:
@@ -40,17 +53,89 @@ def star_baseline(facts: DataFrame, floor: int) -> DataFrame:
     return agreement(means.join(stars, "model_key")).withColumn("r_squared", F.col("pearson") * F.col("pearson"))
 
 
-def split_half(facts: DataFrame, floor: int, repeats: int = SPLIT_REPEATS) -> DataFrame:
-    """Random halves of each cell, ``repeats`` times; halves follow a hash, so every run draws the same."""
-    cell = Window.partitionBy("model_key", "aspect", "i")
-    drawn = facts.select("model_key", "aspect", "review_id", "score", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("i"))
-    order = F.md5(F.concat(F.col("review_id").cast("string"), F.lit("|"), F.col("i").cast("string")).cast("binary"))
-    drawn = drawn.withColumns({"rn": F.row_number().over(cell.orderBy(order, "review_id")), "n": F.count("*").over(cell)}).where(F.col("n") >= floor)
-    first = F.col("rn") <= F.floor(F.col("n") / 2)
-    halves = drawn.groupBy("model_key", "aspect", "i").agg(F.avg(F.when(first, F.col("score"))).alias("a"), F.avg(F.when(~first, F.col("score"))).alias("b"))
-    ranked = average_rank(average_rank(halves, ["aspect", "i"], "a", "ra"), ["aspect", "i"], "b", "rb")
-    each = ranked.groupBy("aspect", "i").agg(F.corr("a", "b").alias("p"), F.corr("ra", "rb").alias("s"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("g"), F.count("*").alias("n"))
-    out = each.groupBy("aspect").agg(F.max("n").alias("products"), F.avg("s").alias("spearman"), F.avg("p").alias("pearson"), F.avg("g").alias("mean_abs_gap"))
+def _digests(ids: list[str], i: int) -> np.ndarray:
+    """The keys of repeat ``i`` that order reviews at random; equal in every run."""
+    return np.frombuffer(b"".join(hashlib.md5(f"{x}|{i}".encode()).digest() for x in ids), ">u8").reshape(-1, 2)
+
+
+def _small_halves(rows: DataFrame, floor: int, repeats: int) -> DataFrame:
+    """(model_key, aspect, i, a, b) of cells that fit into a task: a cell's scores meet once, and are permuted there."""
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in whole_groups(batches, "cell"):
+            n = cell.num_rows
+            if n < floor:
+                continue
+            ids, scores = cell.column("review_id").to_pylist(), cell.column("score").to_numpy()
+            a, b = np.empty(repeats), np.empty(repeats)
+            for i in range(repeats):
+                keys = _digests(ids, i)
+                order = np.lexsort((keys[:, 1], keys[:, 0]))
+                a[i], b[i] = scores[order[: n // 2]].mean(), scores[order[n // 2 :]].mean()
+            names = [pa.array([cell.column(c)[0].as_py()] * repeats, pa.string()) for c in ("model_key", "aspect")]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(np.arange(repeats, dtype=np.int32)), pa.array(a), pa.array(b)], ["model_key", "aspect", "i", "a", "b"])
+
+    keyed = rows.withColumn("cell", F.concat_ws("\x1f", "model_key", "aspect")).repartition("cell").sortWithinPartitions("cell")
+    return arrow_map(keyed, halve, HALVES)
+
+
+def _large_halves(rows: DataFrame, sizes: DataFrame, repeats: int) -> DataFrame:
+    """The same of cells of any size: sums by ranges of the random keys, then the rows of the one range that holds the middle."""
+    bins = 1 << BIN_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            models, aspects, ids, scores = (c.to_pylist() for c in batch.columns)
+            where: dict[tuple, list[int]] = {}
+            for at, cell in enumerate(zip(models, aspects)):
+                where.setdefault(cell, []).append(at)
+            for cell, own in where.items():
+                sums = held.setdefault(cell, np.zeros((repeats, 2, bins)))
+                values = np.array([scores[k] for k in own])
+                for i in range(repeats):
+                    low = (_digests([ids[k] for k in own], i)[:, 0] >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+                    sums[i, 0] += np.bincount(low, minlength=bins)
+                    sums[i, 1] += np.bincount(low, values, bins)
+        for (model, aspect), sums in held.items():
+            for i in range(repeats):
+                own = np.flatnonzero(sums[i, 0])
+                k = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array([model] * k, pa.string()), pa.array([aspect] * k, pa.string()), pa.array(np.full(k, i, np.int32)), pa.array(own), pa.array(sums[i, 0, own].astype(np.int64)), pa.array(sums[i, 1, own])], ["model_key", "aspect", "i", "bin", "c", "s"])
+
+    cell = ["model_key", "aspect", "i"]
+    binned = arrow_map(rows, count, "model_key string, aspect string, i int, bin long, c long, s double").groupBy(*cell, "bin").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    upto = Window.partitionBy(*cell).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # a row for each range
+    placed = binned.withColumns({"upto": F.sum("c").over(upto), "sums": F.sum("s").over(upto)}).join(sizes, ["model_key", "aspect"])
+    half = F.floor(F.col("n") / 2)
+    totals = Window.partitionBy(*cell)
+    middle = placed.withColumn("total", F.sum("s").over(totals)).where((F.col("upto") >= half) & (F.col("upto") - F.col("c") < half))
+    middle = written(middle.select(*cell, "bin", "n", "total", (half - F.col("upto") + F.col("c")).alias("rest"), (F.col("sums") - F.col("s")).alias("below")), "middles")
+    # of each repeat only the rows of its middle range meet
+    tries = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("key", F.md5(F.concat("review_id", F.lit("|"), F.col("i").cast("string")).cast("binary")))
+    lead = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / (1 << (32 - BIN_BITS))).cast("long")
+    near = tries.withColumn("bin", lead).join(middle, [*cell, "bin"])
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("key"))
+    first = near.withColumn("_place", place).where(F.col("_place") <= F.col("rest")).groupBy(*cell).agg(F.sum("score").alias("inside"))
+    a = F.col("below") + F.coalesce("inside", F.lit(0.0))
+    return middle.join(first, cell, "left").select(*cell, (a / half).alias("a"), ((F.col("total") - a) / (F.col("n") - half)).alias("b"))
+
+
+def split_half(facts: DataFrame, floor: int, repeats: int = SPLIT_REPEATS, large: int = LARGE_CELL) -> DataFrame:
+    """Reliability over random halves of each cell, ``repeats`` times; halves follow a hash, so every run draws the same.
+
+    No row is multiplied: a cell's scores meet once, and cells of more than ``large``
+    scores don't meet at all.
+    """
+    rows = facts.select("model_key", "aspect", F.col("review_id").cast("string").alias("review_id"), "score").where("score is not null")
+    sizes = rows.groupBy("model_key", "aspect").agg(F.count("*").alias("n")).where((F.col("n") > large) & (F.col("n") >= floor))
+    sizes = written(sizes, "large-cells")
+    if sizes.isEmpty():
+        halves = _small_halves(rows, floor, repeats)
+    else:
+        halves = _small_halves(rows.join(sizes, ["model_key", "aspect"], "left_anti"), floor, repeats).unionByName(_large_halves(rows.join(sizes, ["model_key", "aspect"], "left_semi"), sizes, repeats))
+    each = correlations(halves, ["aspect", "i"], "a", "b")
+    out = each.groupBy("aspect").agg(F.max("n").alias("products"), F.avg("spearman").alias("spearman"), F.avg("pearson").alias("pearson"), F.avg("mean_abs_gap").alias("mean_abs_gap"))
     return out.withColumn("spearman_brown", 2 * F.col("spearman") / (1 + F.col("spearman")))
 
 
@@ -61,9 +146,10 @@ def _observed(facts: DataFrame, floor: int) -> DataFrame:
 
 def null_spread(facts: DataFrame, floor: int) -> DataFrame:
     """Means of as many draws with the noise within products, for as many products."""
-    each = _observed(facts, floor).select("aspect", "s", "m", F.explode(F.sequence(F.lit(0), F.col("products") - 1)).alias("p"))
-    # a few rows became many: deal them out before each becomes more
-    draws = each.repartition("aspect", "p").select("aspect", "s", "p", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
+    params = written(_observed(facts, floor), "null-parameters")  # a row for each aspect
+    most = params.agg(F.coalesce(F.max("products"), F.lit(0).cast("long")).alias("n")).first().n
+    each = facts.sparkSession.range(most).withColumnRenamed("id", "p").join(F.broadcast(params), F.col("p") < F.col("products"))
+    draws = each.select("aspect", "s", "p", F.explode(F.sequence(F.lit(0), F.greatest(F.col("m") - 1, F.lit(0).cast("long")))).alias("i"))
     key = F.concat_ws("-", "aspect", F.col("i").cast("string"), F.col("p").cast("string"))
     u1, u2 = (F.greatest(hash_uniform(key, s), F.lit(1e-12)) for s in ("n1", "n2"))
     normal = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * F.pi() * u2)

@@ -160,13 +160,35 @@ def test_resampling_is_whole(spark):
 
 
 def test_ranks_by_counts_are_those_by_rows(spark):
+    from pyspark.sql import Window
+
     from aspectra.operators import reliability
 
     rows = [(i, ("a", "b", None)[i % 3], None if i % 11 == 0 else float(i * i % 17)) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, g string, v double")
-    want = {r.id: r.place for r in reliability.average_rank(df, "g", "v", "place").collect()}
-    assert {r.id: r.place for r in reliability.average_rank_of_many(df, "g", "v", "place").collect()} == want
-    assert len(want) == 300
+    own = Window.partitionBy("g")
+    want = df.withColumn("place", F.rank().over(own.orderBy("v")) + (F.count("*").over(Window.partitionBy("g", "v")) - 1) / 2)
+    got = {r.id: r.place for r in reliability.average_rank(df, "g", "v", "place").collect()}
+    assert got == {r.id: r.place for r in want.collect()} and len(got) == 300
+
+
+def test_halves_of_large_cells_are_those_of_small_ones(spark):
+    """Cells that meet in no task give the halves of those that do."""
+    import numpy as np
+
+    from aspectra.operators import reliability
+
+    rng = np.random.default_rng(4)
+    rows = [(f"m{k}", "battery", f"r{k}-{i}", float(rng.normal(k, 2))) for k in range(5) for i in range(13 + 40 * k)]
+    rows += [("m9", "price", f"x{i}", 1.0) for i in range(7)]
+    df = spark.createDataFrame(rows, "model_key string, aspect string, review_id string, score double").repartition(3)
+    small = {(r.model_key, r.aspect, r.i): (r.a, r.b) for r in reliability._small_halves(df, 10, 4).collect()}
+    sizes = df.groupBy("model_key", "aspect").agg(F.count("*").alias("n")).where("n >= 10")
+    large = {(r.model_key, r.aspect, r.i): (r.a, r.b) for r in reliability._large_halves(df.where("aspect = 'battery'"), sizes, 4).collect()}
+    assert set(small) == set(large) and len(small) == 20
+    assert all(large[c] == pytest.approx(small[c]) for c in small)
+    both = reliability.split_half(df, 10, 4).first()
+    assert reliability.split_half(df, 10, 4, large=60).first().asDict() == pytest.approx(both.asDict())
 
 
 def test_bootstrap_of_any_metric(spark):

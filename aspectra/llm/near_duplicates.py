@@ -188,8 +188,8 @@ def block_links(own: list[np.ndarray], root_x: np.ndarray, others: list[np.ndarr
 class Search:
     """Links between classes at a similarity of ``percent`` or more."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int, k: int):
-        self.docs, self.classes, self.words, self.percent, self.k = docs, classes, words, percent, k
+    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int, k: int, long_list: int | None):
+        self.docs, self.classes, self.words, self.percent, self.k, self.long_list = docs, classes, words, percent, k, long_list
         self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
 
@@ -234,7 +234,7 @@ class Search:
         lists = self.shared(keyed)
         self.merge(self.verified(written(self.starred(lists), "pairs")))
         open_ = self.open_lists(lists)
-        unrelated = (F.col("m") > LONG_LIST) & (F.col("top") * 2 < F.col("m"))
+        unrelated = F.lit(False) if self.long_list is None else (F.col("m") > self.long_list) & (F.col("top") * 2 < F.col("m"))
         near = self.compared(open_.where(~unrelated))
         long = open_.where(unrelated)
         if long.isEmpty():
@@ -308,11 +308,11 @@ class Search:
         return self.shared(both.select("cls", "n_shingles", F.xxhash64("key", "other").alias("key")))
 
 
-def placed(docs: DataFrame, words: int, percent: int, k: int) -> DataFrame:
+def placed(docs: DataFrame, words: int, percent: int, k: int, long_list: int | None = LONG_LIST) -> DataFrame:
     """doc_id, text_key, n_shingles, cls, root and component_id of every row; the last three are null without shingles, component_id also without any id."""
     made = written(sketches(docs, words, k), "sketches")
     classes = written(made.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
-    roots = Search(docs, classes, words, percent, k).run()
+    roots = Search(docs, classes, words, percent, k, long_list).run()
     named = classes.select("cls", "first_id").join(roots.withColumnRenamed("a", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = written(named.join(least, "root").select("cls", "root", "component_id"), "named")
@@ -322,15 +322,19 @@ def placed(docs: DataFrame, words: int, percent: int, k: int) -> DataFrame:
     return rows.where("n_shingles > 0").join(of_class, "cls").select(*alone.columns).unionByName(alone)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
-    """doc_id, n_shingles, cls, component_id and kept of every document; kept: no other comes before it in its component."""
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH, long_list: int | None = LONG_LIST) -> DataFrame:
+    """doc_id, n_shingles, cls, component_id and kept of every document; kept: no other comes before it in its component.
+
+    Lists of more than ``long_list`` members, most of them unrelated, are divided by
+    a second run; None compares every list as it is, block by block.
+    """
     component = F.coalesce("component_id", "doc_id")
-    return placed(docs, words, percent, k).select("doc_id", "n_shingles", "cls", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return placed(docs, words, percent, k, long_list).select("doc_id", "n_shingles", "cls", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, long_list: int | None = LONG_LIST) -> DataFrame:
     """One row of each component with all its columns: that of the smallest id, then of the smallest hash of its text; of equal ids and texts, one."""
-    found = placed(docs, words, percent, SKETCH).where("root is not null")
+    found = placed(docs, words, percent, SKETCH, long_list).where("root is not null")
     rows = written(found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")), "component-rows")
     first = rows.groupBy("root").agg(F.sum("n").alias("all"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")).where("all > 1")
     first = written(first, "component-firsts")  # a component with very many rows can then be split in the join

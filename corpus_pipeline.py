@@ -18,7 +18,7 @@ from aspectra.llm.queries import tokenizer_file
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without any letter go."""
+    """Documents whose language the network knows and is at least half sure of; those without any letter go."""
     return language.keep_known(docs)
 
 

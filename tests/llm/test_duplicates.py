@@ -65,28 +65,44 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, words, block):
     assert [got[i].kept for i in range(len(texts))] == [w == i for i, w in enumerate(want)]
 
 
-def test_long_lists_of_unrelated_documents_are_divided(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "LONG_LIST", 6)
+@pytest.mark.parametrize("long_list", [6, None])
+def test_long_lists_of_unrelated_documents_are_divided(spark, long_list):
     rng = random.Random(2)
     passage = [f"p{i}" for i in range(80)]
     texts = [" ".join([f"a{rng.randrange(10**6)}" for _ in range(60)] + passage) for _ in range(40)]
     texts += [texts[0] + " more", texts[7].replace("p5 ", "q5 ")]
     sets = [shingles(t, 4) for t in texts]
     edges = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
-    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs_of(spark, texts), 4).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs_of(spark, texts), 4, long_list=long_list).collect()}
     assert [got[i] for i in range(len(texts))] == roots_of(len(texts), edges)
 
 
+def test_recall_of_long_sets_in_divided_lists(spark):
+    """Pairs of long sets close to the threshold, all behind one passage: a division loses none that whole lists have."""
+    rng = random.Random(31)
+    passage, texts = [f"p{i}" for i in range(60)], []
+    for i in range(120):
+        own = [f"{i}x{rng.randrange(10**6)}" for _ in range(220)]
+        other = list(own)
+        for k in range(5 + i % 3):
+            other[20 + 30 * k] = f"{i}y{k}"
+        texts += [" ".join(passage + own), " ".join(passage + other)]
+    sets = [shingles(t, 4) for t in texts]
+    linked = [100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1]) for i in range(0, 240, 2)]
+    assert sum(linked) > 100
+    runs = [{r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs_of(spark, texts), 4, long_list=n).collect()} for n in (6, None)]
+    assert runs[0] == runs[1] == {i: i // 2 * 2 if linked[i // 2] else i for i in range(240)}
+
+
 def test_links_of_small_sets_survive_a_division(spark, monkeypatch):
     """Sets of 5 and 6 values that share one run of three, in a list of unrelated ones with it."""
-    monkeypatch.setattr(near_duplicates, "LONG_LIST", 6)
     run, left, right = [50, 60, 70], [10, 20], [80, 90]
     rows = [(100, [10, 20, *run], None), (101, [10, 20, 40, *run], None), (102, [*run, 80, 90], None), (103, [*run, 75, 80, 90], None)]
     rows += [(i, [1000 + 10 * i, 1001 + 10 * i], None) for i in range(20)]
     sets = [(i, sorted([*run, *own]) if i < 100 else sorted(own)) for i, own, _ in rows]
     classes = spark.createDataFrame([(i, i, len(x), x) for i, x in sets], "cls long, first_id long, n_shingles long, sketch array<long>")
     monkeypatch.setattr(near_duplicates.Search, "sets_of", lambda self, ids: classes.select("cls", F.col("sketch").alias("shingles")).join(ids, "cls", "left_semi"))
-    roots = {r.a: r.root for r in near_duplicates.Search(classes, classes, 4, 80, 80).run().collect()}
+    roots = {r.a: r.root for r in near_duplicates.Search(classes, classes, 4, 80, 80, 6).run().collect()}
     edges = [(i, j) for (i, x), (j, y) in itertools.combinations(sets, 2) if 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})]
     assert edges == [(100, 101), (102, 103)]
     assert roots == {101: 100, 103: 102}

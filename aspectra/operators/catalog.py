@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aspectra.constants import MIN_REVIEWS, MIN_WORDS, REVIEW_CAP, SEED
+from aspectra.sources.shared import written
 
 
 def word_count(text: Column) -> Column:
@@ -55,9 +55,9 @@ def running_total(df: DataFrame, order: list[Column | str], amount: Column, name
     """Sum of ``amount`` up to and with each row in an order, without one task for all rows: sums by range, then within.
 
     Both parts must see the same ranges, whose bounds are sampled anew for each
-    exchange of a plan: the dealt rows are held, on disk where memory is short.
+    exchange of a plan: the dealt rows are a table of the shared folder.
     """
-    ranged = df.repartitionByRange(*order).withColumns({"_p": F.spark_partition_id(), "_amount": amount}).persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = written(df.repartitionByRange(*order).withColumns({"_p": F.spark_partition_id(), "_amount": amount}), "ranges")
     sums = ranged.groupBy("_p").agg(F.sum("_amount").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     bases = sums.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

@@ -24,6 +24,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table's rows dealt over all cores, where its files give fewer splits than there are cores."""
+        rows, cores = self.raw(name), self.spark.sparkContext.defaultParallelism
+        return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
     @cached_property
     def facts(self) -> DataFrame:
         """Scored aspects of reviews, from events."""
@@ -86,7 +91,7 @@ class Tables:
         from aspectra.functions.scores import hash_uniform
 
         u = hash_uniform(F.col("doc_id"), "split")
-        return self.raw("documents").select("doc_id", "text", "lang", F.when(u < 0.1, "test").when(u < 0.25, "dev").otherwise("train").alias("split"))
+        return self.spread("documents").select("doc_id", "text", "lang", F.when(u < 0.1, "test").when(u < 0.25, "dev").otherwise("train").alias("split"))
 
     @cached_property
     def predictions(self) -> DataFrame:

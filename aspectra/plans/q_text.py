@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aspectra.constants import AXES, UNIT_MAX_WORDS, UNIT_MIN_WORDS
+from aspectra.constants import ASPECTS, AXES, UNIT_MAX_WORDS, UNIT_MIN_WORDS
 from aspectra.functions import text as X
 from aspectra.functions.scores import hash_uniform, r6
 from aspectra.operators import analysis as A
 from aspectra.operators import dataset as D
 from aspectra.operators import ml as ML
+from aspectra.operators.scoring import register
 from aspectra.plans.bindings import Tables, sql
 from aspectra.plans.registry import query
+from aspectra.sources.shared import written
 
 
 def _literal(text: str) -> str:
@@ -440,17 +442,70 @@ def feature_union(t: Tables) -> DataFrame:
     return out.groupBy("item_id", "kind").agg(F.count("*").alias("features"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
+#: A word for each aspect; a text that has it is about the aspect.
+_ASPECT_WORDS = dict(zip(ASPECTS, ("that", "was", "this", "are", "from", "tion", "ing", "ble", "ther", "thon", "than", "anea")))
+
+
+def _labelled(t: Tables) -> DataFrame:
+    """Texts with a label of 0 and 1 for each aspect, and a class: by words that they have."""
+    has = lambda words: F.lower("text").rlike(rf"(?U)\b(?:{words})\b")
+    y = F.when(has("idiot|scum|trash"), 0).when(has("with|von|por|dans"), 2).otherwise(1)
+    return t.texts.select("doc_id", "split", "text", y.alias("y"), *(has(w).cast("int").alias(a) for a, w in _ASPECT_WORDS.items()))
+
+
 @query()
 def sentiment_logreg(t: Tables) -> DataFrame:
-    """Three balanced classes by multinomial logistic regression: predictions of the held-out split."""
-    y = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).otherwise(2)
-    rows = t.texts.select("doc_id", "split", "text", y.alias("y"))
-    return ML.fit_sentiment(rows.where("split = 'train'")).transform(rows.where("split <> 'train'")).select("doc_id", F.col("prediction").cast("int").alias("prediction"), "y")
+    """Three balanced classes by multinomial logistic regression: predictions of the held-out splits."""
+    rows = _labelled(t)
+    model = ML.fit_sentiment(rows.where("split = 'train'").select("text", "y"))
+    return model.predict(rows.where("split <> 'train'").select("doc_id", "y", "text"), "text", "prediction").select("doc_id", "prediction", "y")
+
+
+@query()
+def sentiment_with_aspect(t: Tables) -> DataFrame:
+    """The same with a category beside the text: the language as a one-hot column."""
+    rows = _labelled(t).join(t.texts.select("doc_id", F.col("lang").alias("aspect")), "doc_id")
+    model = ML.fit_with_aspect(rows.where("split = 'train'").select("text", "aspect", "y"))
+    return model.predict(rows.where("split <> 'train'").select("doc_id", "y", "aspect", "text"), "text", "prediction").select("doc_id", "prediction", "y")
+
+
+@query()
+def calibrated_svm(t: Tables) -> DataFrame:
+    """Support-vector machines with sigmoids: probabilities of the held-out splits."""
+    rows = _labelled(t)
+    model = ML.fit_calibrated_svm(rows.where("split = 'train'").select("text", "y"))
+    out = model.score(rows.where("split <> 'train'").select("doc_id", "y", "text"), "text", "p")
+    return out.select("doc_id", "y", *(r6(F.col("p")[i]).alias(c) for i, c in enumerate(A.P3)))
+
+
+def _detector(t: Tables) -> ML.LinearModel:
+    return ML.fit_detector(_labelled(t).where("split = 'train'").select("text", *ASPECTS), list(ASPECTS))
 
 
 @query()
 def detector_logreg(t: Tables) -> DataFrame:
-    """One balanced logistic regression for each label: probabilities of the held-out split."""
-    rows = t.texts.select("doc_id", "split", "text", *((F.col("lang") == x).cast("int").alias(x) for x in ("en", "fr")))
-    models = ML.fit_detector(rows.where("split = 'train'"), ["en", "fr"])
-    return ML.predict_detector(rows.where("split <> 'train'").select("doc_id", "text"), models, 0.46)
+    """A balanced logistic regression for each of twelve aspects: probabilities of the held-out splits."""
+    return ML.predict_detector(_labelled(t).where("split <> 'train'").select("doc_id", "text"), _detector(t), 0.46)
+
+
+@query()
+def detector_tuned(t: Tables) -> DataFrame:
+    """Micro F1 of the detector on the dev split at each threshold, and that of the best one on the test split."""
+    from aspectra.operators import evaluation as E
+
+    rows, model = _labelled(t), _detector(t)
+    said = model.score(rows.where("split <> 'train'"), "text", "p").select("split", F.posexplode(F.array(*(F.struct(F.col(a).alias("y"), F.col("p")[i].alias("p")) for i, a in enumerate(ASPECTS))))).select("split", "col.*")
+    said = written(said, "detections")
+    swept = E.threshold_sweep(said.where("split = 'dev'"), E.grid(t.spark, 0.1, 0.02, 41))
+    best = swept.agg(F.max_by("threshold", F.struct(F.round("f1", 9), -F.col("threshold"))).alias("threshold"))
+    test = E.threshold_sweep(said.where("split = 'test'"), best).select(F.lit("test").alias("split"), "threshold", r6("f1").alias("f1"))
+    return swept.select(F.lit("dev").alias("split"), "threshold", r6("f1").alias("f1")).unionByName(test)
+
+
+@query()
+def analyze_with_models(t: Tables) -> DataFrame:
+    """The two-stage scorer with fitted models for both stages, by their names, over whole documents."""
+    register("aspects", _detector(t))
+    register("polarity", ML.fit_sentiment(_labelled(t).where("split = 'train'").select("text", "y")))
+    out = A.analyze(_units(t), list(ASPECTS), A.ModelDetector("aspects"), A.ModelClassifier("polarity"))
+    return out.select("review_id", "aspect", "mentions", r6("detection").alias("detection"), r6("score").alias("score"), "polarity")

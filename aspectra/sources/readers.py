@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import warnings
 
 from pyspark.errors import AnalysisException
@@ -100,13 +99,12 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_model(spark: SparkSession, folder: str):  # noqa: ANN201
-    """A fitted pipeline with its description; both must be there."""
-    from pyspark.ml import PipelineModel
+    """A fitted model with its description; both must be there."""
+    from aspectra.operators.scoring import LinearModel
 
-    if not (exists(spark, f"{folder}/metadata.json") and exists(spark, f"{folder}/model")):
+    if not (exists(spark, f"{folder}/about") and exists(spark, f"{folder}/terms")):
         raise FileNotFoundError(f"{folder} has no complete model")
-    text = "\n".join(r.value for r in spark.read.text(f"{folder}/metadata.json").collect())
-    return PipelineModel.load(f"{folder}/model"), json.loads(text)
+    return LinearModel.load(spark, folder)
 
 
 def resolve_stage(preference: str, available: dict[str, bool], scores: dict[str, float]) -> str:

@@ -14,6 +14,7 @@ from aspectra.constants import SPLIT_REPEATS
 from aspectra.functions.scores import hash_uniform
 from aspectra.operators.catalog import running_total
 from aspectra.operators.profiles import cell_means
+from aspectra.operators.quantiles import grouped_quantiles
 from aspectra.sources.shared import arrow_map, whole_groups, written
 
 #: Scores of a cell that meet in one task at most, and bits of the random keys by which larger ones are cut.
@@ -153,10 +154,10 @@ def null_spread(facts: DataFrame, floor: int) -> DataFrame:
     key = F.concat_ws("-", "aspect", F.col("i").cast("string"), F.col("p").cast("string"))
     u1, u2 = (F.greatest(hash_uniform(key, s), F.lit(1e-12)) for s in ("n1", "n2"))
     normal = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * F.pi() * u2)
-    means = draws.groupBy("aspect", "p").agg(F.avg(5.5 + F.col("s") * normal).alias("mu"))
-    q = F.percentile("mu", F.array(F.lit(0.1), F.lit(0.9)))
-    out = means.groupBy("aspect").agg((F.max("mu") - F.min("mu")).alias("null_range"), F.stddev_pop("mu").alias("null_std"), q.alias("q"))
-    return out.withColumn("null_p90_p10", F.col("q")[1] - F.col("q")[0]).drop("q")
+    means = written(draws.groupBy("aspect", "p").agg(F.avg(5.5 + F.col("s") * normal).alias("mu")), "null-means")
+    out = means.groupBy("aspect").agg((F.max("mu") - F.min("mu")).alias("null_range"), F.stddev_pop("mu").alias("null_std"))
+    at = grouped_quantiles(means, "aspect", "mu", [0.1, 0.9], ["low", "high"])
+    return out.join(at, "aspect").withColumn("null_p90_p10", F.col("high") - F.col("low")).drop("low", "high")
 
 
 def compare_to_null(facts: DataFrame, floor: int) -> DataFrame:

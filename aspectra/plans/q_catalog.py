@@ -9,6 +9,7 @@ from aspectra.functions.scores import r6
 from aspectra.operators import catalog as C
 from aspectra.operators import recommend as M
 from aspectra.plans.bindings import Tables, sql
+from aspectra.operators.quantiles import grouped_quantiles
 from aspectra.plans.registry import query
 
 
@@ -106,7 +107,7 @@ def keep_priced_semi(t: Tables) -> DataFrame:
 
 @query(sql("listings", "SELECT model_key, round(median(price),6) AS price FROM listings WHERE price>0 GROUP BY 1"))
 def median_price_by_model(t: Tables) -> DataFrame:
-    return t.keyed_listings.where("price > 0").groupBy("model_key").agg(r6(F.median("price")).alias("price"))
+    return grouped_quantiles(t.keyed_listings.where("price > 0"), "model_key", "price", [0.5], ["price"]).select("model_key", r6("price").alias("price"))
 
 
 @query(sql("reviews listings", f"SELECT model_key, round(avg(rating),6) AS avg_rating FROM ({_JOINED}) GROUP BY 1"))

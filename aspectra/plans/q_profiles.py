@@ -12,7 +12,9 @@ from aspectra.operators import profiles as P
 from aspectra.operators import reliability as R
 from aspectra.operators import recommend as M
 from aspectra.plans.bindings import FLOOR, REQUIREMENT, Tables, sql, uniform
+from aspectra.operators.quantiles import grouped_quantiles
 from aspectra.plans.registry import query
+from aspectra.sources.shared import written
 
 _NEED = {a: f"{v:g}e0" for a, v in REQUIREMENT.items()}
 
@@ -113,8 +115,9 @@ def score_to_price(t: Tables) -> DataFrame:
 
 @query(sql("wide", " UNION ALL ".join(f"SELECT '{a}' AS axis, count({a}) AS products, round(min({a}),6) AS lowest, round(median({a}),6) AS middle, round(max({a}),6) AS highest, round(stddev_samp({a}),6) AS sd, round(max({a})-min({a}),6) AS spread FROM wide" for a in AXES)))
 def axis_spread(t: Tables) -> DataFrame:
-    tall = t.wide.unpivot("model_key", list(AXES), "axis", "v")
-    return tall.groupBy("axis").agg(F.count("v").alias("products"), r6(F.min("v")).alias("lowest"), r6(F.median("v")).alias("middle"), r6(F.max("v")).alias("highest"), r6(F.stddev_samp("v")).alias("sd"), r6(F.max("v") - F.min("v")).alias("spread"))
+    tall = written(t.wide.unpivot("model_key", list(AXES), "axis", "v"), "axes")
+    middles = grouped_quantiles(tall, "axis", "v", [0.5], ["middle"])
+    return tall.groupBy("axis").agg(F.count("v").alias("products"), r6(F.min("v")).alias("lowest"), r6(F.max("v")).alias("highest"), r6(F.stddev_samp("v")).alias("sd"), r6(F.max("v") - F.min("v")).alias("spread")).join(middles.select("axis", r6("middle").alias("middle")), "axis")
 
 
 _EVIDENCE = "SELECT *, 'mention '||CAST(review_id AS VARCHAR)||' of '||aspect||' || more' AS evidence FROM facts"

@@ -11,6 +11,7 @@ from aspectra.functions.scores import hash_uniform, r6
 from aspectra.operators import analysis as A
 from aspectra.operators import dataset as D
 from aspectra.operators import ml as ML
+from aspectra.operators.quantiles import quantiles
 from aspectra.operators.scoring import register
 from aspectra.plans.bindings import Tables, sql
 from aspectra.plans.registry import query
@@ -234,9 +235,12 @@ _WORDS = "len(list_filter(string_split_regex(text,'\\s+'), lambda x: x<>''))"
 
 @query(f"SELECT round(avg(w),6) AS mean, CAST(floor(median(w)) AS INTEGER) AS middle, CAST(floor(quantile_cont(w,0.9)) AS INTEGER) AS p90, CAST(floor(quantile_cont(w,0.99)) AS INTEGER) AS p99, CAST(max(w) AS INTEGER) AS longest FROM (SELECT {_WORDS} AS w FROM documents)")
 def dataset_stats(t: Tables) -> DataFrame:
+    """Words of a document: their mean, quantiles by distributed selection, and the most."""
     words = t.raw("documents").select(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("w"))
-    out = words.agg(F.avg("w").alias("mean"), F.percentile("w", F.array(*(F.lit(q) for q in (0.5, 0.9, 0.99)))).alias("q"), F.max("w").alias("longest"))
-    return out.select(r6("mean").alias("mean"), *(F.floor(F.col("q")[i]).cast("int").alias(n) for i, n in enumerate(("middle", "p90", "p99"))), "longest")
+    words = written(words, "word-counts")
+    at = quantiles(words, "w", [0.5, 0.9, 0.99])
+    out = words.agg(F.avg("w").alias("mean"), F.max("w").alias("longest"))
+    return out.select(r6("mean").alias("mean"), *(F.floor(F.lit(q)).cast("int").alias(n) for q, n in zip(at, ("middle", "p90", "p99"))), "longest")
 
 
 _SETS = "s AS (SELECT review_id, array_to_string(list_sort(list(DISTINCT aspect)),'|') AS aspects FROM pairs GROUP BY 1)"
@@ -322,7 +326,7 @@ def sentences_sql(column: str, least: int = UNIT_MIN_WORDS, most: int = UNIT_MAX
 @query(f"SELECT doc_id, unnest(range(len(units))) AS position, unnest(units) AS unit FROM (SELECT doc_id, {sentences_sql('text')} AS units FROM documents)")
 def split_sentences(t: Tables) -> DataFrame:
     """Sentence units of whole documents."""
-    units = t.raw("documents").select("doc_id", F.posexplode(X.split_sentences("text")).alias("position", "unit"))
+    units = t.spread("documents").select("doc_id", F.posexplode(X.split_sentences("text")).alias("position", "unit"))
     return units.select("doc_id", F.col("position").cast("long").alias("position"), "unit")
 
 
@@ -341,8 +345,8 @@ _FOUND = f"{_UNITS}, f AS (SELECT review_id, position, aspect, unit, {_DETECT.fo
 
 
 def _units(t: Tables) -> DataFrame:
-    """Sentence units of cleaned documents."""
-    cleaned = t.raw("documents").select(F.col("doc_id").alias("review_id"), X.clean_text(F.col("text")).alias("cleaned"))
+    """Sentence units of cleaned documents, dealt over all cores."""
+    cleaned = t.spread("documents").select(F.col("doc_id").alias("review_id"), X.clean_text(F.col("text")).alias("cleaned"))
     return cleaned.select("review_id", "cleaned", F.posexplode(X.split_sentences("cleaned")).alias("position", "unit"))
 
 

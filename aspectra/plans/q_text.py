@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,7 +163,15 @@ def unmapped_labels(t: Tables) -> DataFrame:
     return _categories(t).where(state == "unknown").groupBy("category", "domain").agg(F.count("*").alias("n"))
 
 
-@query()
+_ITEM = r"'(\\.|[^'\\])*'"
+_LIST = rf"\[\s*{_ITEM}(\s*,\s*{_ITEM})*\s*\]"
+_TRIPLE = rf"\[\s*{_ITEM}\s*,\s*{_ITEM}\s*,\s*{_ITEM}\s*\]"
+_PAYLOADS = ("####[['screen', 'Screen#X', 'positive'], ['battery', 'Battery/Longevity', 'negative']]", " no separator", "####[['a', 'b']]", "####not a list", "####[['it\\'s', 'Overall', 'neutral']]", "####[oops")
+_LINES = "SELECT regexp_replace(text,'\\s+',' ','g')||CASE CAST(item_id%6 AS INTEGER) " + " ".join(f"WHEN {i} THEN {_literal(p)}" for i, p in enumerate(_PAYLOADS)) + " END AS value FROM benchmark"
+_CAUSES = f"SELECT CASE WHEN NOT contains(value,'####') THEN 'no separator' WHEN trim(split_part(value,'####',1))='' THEN 'empty text' WHEN NOT regexp_full_match(p,'(?s)\\[.*\\]') THEN 'not a list' WHEN NOT regexp_full_match(p,{_literal(rf'\[\s*{_LIST}(\s*,\s*{_LIST})*\s*\]')}) THEN 'unreadable' WHEN NOT regexp_full_match(p,{_literal(rf'\[\s*{_TRIPLE}(\s*,\s*{_TRIPLE})*\s*\]')}) THEN 'wrong shape' ELSE 'kept' END AS cause, len(regexp_extract_all(p,{_literal(_LIST)})) AS lists FROM (SELECT value, trim(substr(value,strpos(value,'####')+4)) AS p FROM ({_LINES}))"
+
+
+@query(f"SELECT cause, count(*) AS n, CAST(CASE WHEN cause='kept' THEN sum(lists) END AS BIGINT) AS triplets FROM ({_CAUSES}) GROUP BY 1")
 def parse_annotated_lines(t: Tables) -> DataFrame:
     """Lines with embedded lists, some of them malformed: counts by cause."""
     n = F.col("item_id") % 6
@@ -330,6 +340,24 @@ def split_sentences(t: Tables) -> DataFrame:
     return units.select("doc_id", F.col("position").cast("long").alias("position"), "unit")
 
 
+@query(f"SELECT doc_id, unnest(range(len(units))) AS position, unnest(units) AS unit FROM (SELECT doc_id, {sentences_sql('text')} AS units FROM documents)")
+def units_lateral(t: Tables) -> DataFrame:
+    """The same units by a table function, from SQL."""
+    from aspectra.functions.units import register as register_units
+
+    register_units(t.spark)
+    return t.spark.sql("SELECT doc_id, u.position, u.unit FROM {docs}, LATERAL sentence_units(text) u", docs=t.spread("documents"))
+
+
+@query(f"SELECT doc_id, unnest(range(len(units))) AS position, unnest(units) AS unit FROM (SELECT doc_id, {sentences_sql('text')} AS units FROM documents)")
+def units_partitioned(t: Tables) -> DataFrame:
+    """And by one over a partitioned table."""
+    from aspectra.functions.units import register as register_units
+
+    register_units(t.spark)
+    return t.spark.sql("SELECT key AS doc_id, position, unit FROM units_of_table(TABLE(SELECT doc_id, text FROM {docs}) PARTITION BY doc_id)", docs=t.raw("documents"))
+
+
 _STATES = f"SELECT conv_id, turn, text, {_clean_sql('text')} AS cleaned FROM conversations"
 
 
@@ -396,13 +424,36 @@ def weighted_prob_combine(t: Tables) -> DataFrame:
     return out.select(F.col("grp").cast("int").alias("grp"), r6("detection").alias("detection"), *(r6(c).alias(c) for c in A.P3))
 
 
-@query()
+_JSON = "'{\"aspect\":\"'||aspect||'\",\"mentions\":'||CAST(mentions AS VARCHAR)||',\"score\":'||CAST(round(score,6) AS VARCHAR)||',\"polarity\":\"'||polarity||'\"}'"
+
+
+@query(f"WITH {_FOUND} SELECT review_id, '['||string_agg({_JSON}, ',' ORDER BY aspect)||']' AS analysis FROM sc GROUP BY 1")
 def result_to_json(t: Tables) -> DataFrame:
     """A review's analysis as one JSON text."""
     one = F.struct("aspect", "mentions", r6("score").alias("score"), "polarity")
     return _analyzed(t).groupBy("review_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("analysis"))
 
 
+@query("SELECT count(*) AS records FROM conversations")
+def count_csv_records(t: Tables) -> DataFrame:
+    """Records of CSV files made of whole texts with their line breaks, counted by byte ranges."""
+    from aspectra.sources.readers import count_rows
+    from aspectra.sources.shared import shared_dir
+
+    path = f"{shared_dir(t.spark)}/conversations-{uuid.uuid4().hex}.csv"
+    t.raw("conversations").write.options(header=True, escape='"', quoteAll=True, emptyValue="").csv(path)
+    return t.spark.createDataFrame([(count_rows(t.spark, path),)], "records long")
+
+
+@query()
+def composed_benchmark(t: Tables) -> DataFrame:
+    """Pseudo reviews of two aspects that no two of their sources share, from reviews of one aspect."""
+    said = F.concat_ws(" ", F.lit("mention"), F.col("position").cast("string"), F.lit("of"), "aspect")
+    single = t.pairs.join(t.pairs.groupBy("review_id").agg(F.count_distinct("aspect").alias("n")).where("n = 1").select("review_id"), "review_id", "left_semi")
+    made = D.compose_benchmark(single.select("review_id", said.alias("text"), "aspect", "polarity"), 2, 3)
+    return made.select("text", F.array_join("source_ids", "|").alias("sources"))
+
+
 @query()
 def synthetic_reviews(t: Tables) -> DataFrame:
     """Review texts from templates, drawn by hashes of product and number."""

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aspectra.constants import ASPECTS
+from aspectra.sources.shared import arrow_map
 
 REVIEW_HEADERS = ("review", "text", "body", "comment", "content")
 
@@ -33,9 +37,47 @@ def read_splits(spark: SparkSession, folder: str, prefix: str, splits: tuple[str
     return read_csv(spark, paths, schema)
 
 
-def count_rows(spark: SparkSession, path: str) -> int:
-    """Records of a CSV file, line breaks within quotes not counted."""
-    return spark.read.options(header=True, multiLine=True, escape='"').csv(path).count()
+def count_rows(spark: SparkSession, path: str | list[str]) -> int:
+    """Records below the header of CSV files, line breaks within quotes not counted, empty lines neither.
+
+    Files are read by byte ranges, whatever they hold: each range gives its parity of
+    quotes and the records that end in it for both parities before it, and a prefix
+    sum over a file's ranges says which of the two holds. Quotes are those of
+    RFC 4180: around whole fields, doubled inside.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"), (F.col("value") == "").alias("empty"))
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parity, ends = None, 0, [0, 0]
+        names = ["file", "start", "parity", "after_even", "after_odd"]
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([x]) for x in (*held, parity, *ends)], names)
+        for batch in batches:
+            files, starts, quotes, empty = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            edges = np.flatnonzero((files[1:] != files[:-1]) | (starts[1:] != starts[:-1])) + 1
+            for first, end in zip([0, *edges.tolist()], [*edges.tolist(), len(files)]):
+                if first == end:
+                    continue
+                place = (files[first], int(starts[first]))
+                if place != held:
+                    if held is not None:
+                        yield out()
+                    held, parity, ends = place, 0, [0, 0]
+                after = (parity + np.cumsum(quotes[first:end])) % 2
+                before = np.append(parity, after[:-1])
+                for state in (0, 1):
+                    done = (after ^ state) == 0
+                    ends[state] += int((done & ~(empty[first:end] & ((before ^ state) == 0))).sum())
+                parity = int(after[-1])
+        if held is not None:
+            yield out()
+
+    found = arrow_map(lines, ranges, "file string, start long, parity long, after_even long, after_odd long")
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    state = F.coalesce(F.sum("parity").over(before), F.lit(0)) % 2
+    records = found.withColumn("n", F.when(state == 0, F.col("after_even")).otherwise(F.col("after_odd")))
+    # a file that ends within quotes has one more record, and the first is its header
+    files = records.groupBy("file").agg((F.sum("n") + F.sum("parity") % 2).alias("n"))
+    return files.agg(F.coalesce(F.sum(F.greatest(F.col("n") - 1, F.lit(0))), F.lit(0)).cast("long").alias("n")).first().n
 
 
 def read_reports(spark: SparkSession, glob: str, schema: str | None = None) -> DataFrame:

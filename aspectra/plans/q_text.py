@@ -15,7 +15,7 @@ from aspectra.operators import dataset as D
 from aspectra.operators import ml as ML
 from aspectra.operators.quantiles import quantiles
 from aspectra.operators.scoring import register
-from aspectra.plans.bindings import Tables, sql
+from aspectra.plans.bindings import U, Tables, sql, uniform
 from aspectra.plans.registry import query
 from aspectra.sources.shared import written
 
@@ -454,7 +454,32 @@ def composed_benchmark(t: Tables) -> DataFrame:
     return made.select("text", F.array_join("source_ids", "|").alias("sources"))
 
 
-@query()
+def _synthetic_sql(each: int) -> str:
+    """The twin of the synthetic reviews, from the same templates: every draw is the same hash."""
+    from aspectra.operators import synthetic as Y
+
+    u = lambda name: uniform("review_id", name)
+    pick = lambda options, draw: f"[{','.join(map(_literal, options))}][1+CAST(floor({draw}*{len(options)}) AS INTEGER)]"
+    most, low = Y.MOST_ASPECTS, f"{Y.NEUTRAL!r}e0"
+    axes = ",".join(f"{{'u': {u('axis-' + a)}, 'axis': '{a}'}}" for a in AXES)
+    rows = f"SELECT *, list_transform(list_sort([{axes}])[1:1+CAST(floor({u('aspects')}*{most}) AS INTEGER)], lambda x: x.axis) AS axes FROM (SELECT 'syn-'||model_key||'-'||CAST(number AS VARCHAR) AS review_id, model_key, name FROM products, (SELECT unnest(range(1,{each + 1})) AS number))"
+    for k in range(most):
+        quality = f"({Y.QUALITY[0]!r}e0+{Y.QUALITY[1] - Y.QUALITY[0]!r}e0*{U.format(key=f'name||{chr(39)}|{chr(39)}||axes[{k + 1}]', seed='quality')})"
+        rows = f"SELECT *, axes[{k + 1}] AS a{k}, CASE WHEN axes[{k + 1}] IS NULL THEN NULL WHEN {u(f'polarity-{k}')}<{low} THEN 'neutral' WHEN {u(f'polarity-{k}')}<{low}+({quality}-1)/9*(1-{low}) THEN 'positive' ELSE 'negative' END AS p{k} FROM ({rows})"
+    for k in range(most):
+        clause = "CASE " + " ".join(f"WHEN a{k}='{a}' AND p{k}='{p}' THEN {pick(options, u(f'clause-{k}'))}" for a, by in Y.CLAUSES.items() for p, options in by.items()) + " END"
+        for slot, words in Y.SLOTS.items():
+            clause = f"replace({clause},'{{{slot}}}',{pick(words, u(f'{slot}-{k}'))})"
+        join = f"CASE WHEN p{k}<>p{k - 1} THEN {pick(Y.JOINS[True], u(f'join-{k}'))} ELSE {pick(Y.JOINS[False], u(f'join-{k}'))} END||" if k else ""
+        rows = f"SELECT *, {clause} AS c{k}, {join}{clause} AS part{k} FROM ({rows})"
+    body = f"replace({pick(Y.OPENINGS, u('opening'))},'{{p}}',name)||{'||'.join(f'coalesce(part{k},{chr(39) * 2})' for k in range(most))}||'.'||{pick(Y.CLOSINGS, u('closing'))}"
+    cased = f"SELECT *, CASE WHEN {u('case')}<{Y.NOISE[0]!r}e0 THEN upper(b) WHEN {u('case')}<{Y.NOISE[0]!r}e0+{Y.NOISE[1]!r}e0 THEN lower(b) ELSE b END AS o FROM (SELECT *, upper(left(body,1))||substr(body,2) AS b FROM (SELECT *, {body} AS body FROM ({rows})))"
+    marked = f"SELECT *, CASE WHEN {u('mark')}<{Y.NOISE[2]!r}e0 AND contains(o,'.') THEN substr(o,1,strpos(o,'.')-1)||'!'||substr(o,strpos(o,'.')+1) ELSE o END AS m FROM ({cased})"
+    listed = lambda c: "'{'||array_to_string(list_filter([" + ",".join(f"'\"'||a{k}||'\":\"'||{c}{k}||'\"'" for k in range(most)) + "], lambda x: x IS NOT NULL),',')||'}'"
+    return f"SELECT review_id, model_key, CASE WHEN {u('dots')}<{Y.NOISE[3]!r}e0 THEN rtrim(m,'.')||'...' ELSE m END AS text, {listed('p')} AS labels, {listed('c')} AS clauses FROM ({marked})"
+
+
+@query(sql("products", _synthetic_sql(3)))
 def synthetic_reviews(t: Tables) -> DataFrame:
     """Review texts from templates, drawn by hashes of product and number."""
     from aspectra.operators.synthetic import reviews

@@ -113,6 +113,25 @@ def test_sentence_units_are_those_of_the_twin(spark):
     assert got == [u for (u,) in want]
 
 
+def test_units_by_table_functions(spark):
+    """The table functions' rules are the engine's, on random texts and other numbers of words."""
+    from aspectra.functions import units
+
+    rng = random.Random(8)
+    parts = ["Good", "e.g.", "Dr.", "mr.", "no", "x.", "?!", "...", "a", "word,", "two words", "\n", "\r\n", "- ", "•", "3.5", "\u00a0", "\u2003", ")", '."', " ", "  ", "vs.", "..etc.", "é", ", ", "The end."]
+    rows = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(0, 40))) for _ in range(300)] + ["", " ", ".", "- ", "long " * 130, "some words, " * 70]
+    assert texts(spark, X.split_sentences, rows) == [units.units_of(r) for r in rows]
+    assert texts(spark, lambda c: X.split_sentences(c, 2, 5), rows) == [units.units_of(r, 2, 5) for r in rows]
+    units.register(spark)
+    df = spark.createDataFrame([(1, "One two three. Four five six."), (1, "Seven eight nine."), (2, None), (3, "")], "k int, t string")
+    got = spark.sql("SELECT k, u.* FROM {df}, LATERAL sentence_units(t, 3, 4) u", df=df).collect()
+    assert sorted((r.k, r.position) for r in got) == [(1, 0), (1, 0), (1, 1)]
+    numbered = spark.sql("SELECT * FROM units_of_table(TABLE({df}) PARTITION BY k)", df=df).collect()
+    assert sorted((r.key, r.position) for r in numbered) == [(1, 0), (1, 1), (1, 2)]
+    with pytest.raises(Exception, match="constants"):
+        spark.sql("SELECT u.* FROM {df}, LATERAL sentence_units(t, k) u", df=df).collect()
+
+
 @pytest.mark.parametrize(
     ("title", "brand", "name"),
     [

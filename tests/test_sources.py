@@ -19,6 +19,42 @@ def test_csv_with_quoted_breaks(spark, tmp_path):
     assert readers.count_rows(spark, path) == 2
 
 
+@pytest.mark.parametrize("size", ["16", "57", "100000"])
+def test_records_are_counted_in_byte_ranges(spark, tmp_path, size):
+    """Random quoted files, cut anywhere, against a parser that reads them whole."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(11)
+    names, total = [], 0
+    for k in range(6):
+        held = io.StringIO()
+        rows = csv.writer(held, quoting=csv.QUOTE_ALL if k % 2 else csv.QUOTE_MINIMAL, lineterminator=rng.choice(["\n", "\r\n"]))
+        rows.writerow(["a", "b"])
+        n = rng.randrange(0, 30)
+        for _ in range(n):
+            rows.writerow(["".join(rng.choice(['"', "\n", ",", "x", "é", " ", "\n\n", '""']) for _ in range(rng.randrange(1, 12))) + "y" for _ in range(2)])
+        text = held.getvalue() + ("\n\n" if k == 3 else "")
+        if k == 4:
+            text = text.rstrip("\r\n")
+        (tmp_path / f"f{k}.csv").write_text(text, encoding="utf-8", newline="")
+        names.append(f"{tmp_path}/f{k}.csv")
+        total += n
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert readers.count_rows(spark, names) == total
+        (tmp_path / "open.csv").write_text('a,b\n1,"2\n3', encoding="utf-8")
+        (tmp_path / "none.csv").write_text("", encoding="utf-8")
+        assert readers.count_rows(spark, f"{tmp_path}/open.csv") == 1
+        assert readers.count_rows(spark, f"{tmp_path}/none.csv") == 0
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 def test_a_missing_split_is_an_error(spark, tmp_path):
     write(tmp_path / "asc_train.csv", "text\na\n")
     with pytest.raises(FileNotFoundError):

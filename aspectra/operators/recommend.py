@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aspectra.constants import AXES
 from aspectra.functions.scores import match_percent, shortfall, worst_axis
 from aspectra.operators.catalog import enumerate_rows
+from aspectra.sources.shared import shared_dir, written
 
 
 def checked(requirement: dict[str, float]) -> dict[str, float]:
@@ -63,3 +67,54 @@ def search(products: DataFrame, query: str = "", brand: str = "", include_simula
     found = products.where(fits)
     page = found.orderBy(F.desc("reviews_total"), "model_key").offset(offset).limit(limit)
     return page.crossJoin(F.broadcast(found.agg(F.count("*").alias("total"))))
+
+
+@dataclass
+class ProfileIndex:
+    """Profiles in cells of a grid over the axes, kept apart by cell; bounds: (cell, n, axes' maxima), a row for each cell."""
+
+    profiles: DataFrame
+    bounds: DataFrame
+    cells: int
+
+    @classmethod
+    def of(cls, profiles: DataFrame, levels: int = 4) -> ProfileIndex:
+        """Each axis has ``levels`` levels, so there are at most ``levels`` to the fifth cells, whatever the number of profiles."""
+        cell = F.lit(0)
+        for a in AXES:
+            cell = cell * levels + F.least(F.greatest(F.floor((F.col(a) - 1) / 9 * levels), F.lit(0)), F.lit(levels - 1)).cast("int")
+        # ranges of cell and key: a cell with very many profiles is cut into several files
+        placed = profiles.withColumn("cell", cell).repartitionByRange("cell", "model_key")
+        path = f"{shared_dir(profiles.sparkSession)}/profiles-{uuid.uuid4().hex}"
+        placed.write.partitionBy("cell").parquet(path)
+        kept = profiles.sparkSession.read.schema(placed.schema).parquet(path)
+        bounds = written(kept.groupBy("cell").agg(F.count("*").alias("n"), *(F.max(a).alias(a) for a in AXES)), "cell-bounds")
+        return cls(kept, bounds, bounds.count())
+
+    def rank_many(self, requirements: DataFrame, limit: int, decimals: int = 6) -> tuple[DataFrame, dict[str, int]]:
+        """As :func:`rank_many`, with the numbers of cells there are and were read, for all requirements together.
+
+        No profile of a cell can match better than its maxima would. The cells with
+        the best bounds that hold ``limit`` profiles give a requirement's least good match
+        so far; cells whose bound is below it are skipped, ties are not.
+        """
+        needs = [F.col(f"need_{a}") for a in AXES]
+        grid = matched(self.bounds.crossJoin(F.broadcast(requirements)), needs)  # cells by given requirements
+        grid = grid.select("query_id", "cell", "n", F.round(F.col("match_percent") + 1e-9, decimals).alias("bound"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "cell").rowsBetween(Window.unboundedPreceding, -1)
+        grid = written(grid.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))), "cell-grid")
+        first = self._ranked(grid.where(F.col("before") < limit), requirements, limit, decimals)
+        least = first.groupBy("query_id").agg(F.min(F.round("match_percent", decimals)).alias("least"), F.count("*").alias("found"))
+        open_ = grid.join(F.broadcast(least), "query_id").where((F.col("bound") >= F.col("least")) | (F.col("found") < limit)).select("query_id", "cell")
+        open_ = written(open_, "open-cells")
+        seen = {"cells": self.cells, "read": open_.select("cell").distinct().count()}
+        return self._ranked(open_, requirements, limit, decimals), seen
+
+    def _ranked(self, cells: DataFrame, requirements: DataFrame, limit: int, decimals: int) -> DataFrame:
+        """The best profiles of each requirement among its cells; only files of these are read."""
+        wanted = [r.cell for r in cells.select("cell").distinct().collect()]  # cells of the grid at most
+        pairs = cells.select("query_id", F.col("cell").alias("_cell")).join(requirements, "query_id")
+        rows = self.profiles.where(F.col("cell").isin(wanted)).join(F.broadcast(pairs), F.col("cell") == F.col("_cell"))
+        out = matched(rows, [F.col(f"need_{a}") for a in AXES])
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order_keys(decimals)))
+        return out.withColumn("rank", place.cast("long")).where(F.col("rank") <= limit).drop("_cell", "cell")

@@ -10,6 +10,7 @@ from aspectra.operators import catalog as C
 from aspectra.operators import recommend as M
 from aspectra.plans.bindings import Tables, sql
 from aspectra.operators.quantiles import grouped_quantiles
+from aspectra.operators.search import TrigramIndex
 from aspectra.plans.registry import query
 
 
@@ -80,6 +81,14 @@ def catalog_search(t: Tables) -> DataFrame:
     return M.search(t.products, " RE ", "BRAND#7", False, 10, 2).select("model_key", "name", "brand", "reviews_total", "total")
 
 
+@query(sql("products", "SELECT model_key, name, brand, reviews_total, total FROM (SELECT *, count(*) OVER () AS total FROM products WHERE simulated=0 AND lower(brand)='brand#7' AND contains(lower(name),'re')) ORDER BY reviews_total DESC, model_key LIMIT 10 OFFSET 2"))
+def catalog_search_indexed(t: Tables) -> DataFrame:
+    """The same page by the index of trigrams."""
+    index = TrigramIndex.of(t.products, "model_key", "name")
+    fits = (F.col("simulated") == 0) & (F.lower("brand") == "brand#7")
+    return index.search(" RE ", [F.desc("reviews_total"), F.col("model_key")], 10, 2, fits).select("model_key", "name", "brand", "reviews_total", "total")
+
+
 @query(sql("products", "SELECT model_key, name FROM products WHERE coalesce(simulated,0)=0 AND NOT starts_with(model_key,'1')"))
 def strip_merged_rows(t: Tables) -> DataFrame:
     """Rows of an earlier merge go by flag and by key prefix."""

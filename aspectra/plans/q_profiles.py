@@ -63,6 +63,14 @@ def recommend_multi(t: Tables) -> DataFrame:
     return M.rank_many(t.wide, asked, 5).select("query_id", "model_key", "rank", r6("match_percent").alias("match_percent"), "worst_axis")
 
 
+@query(sql("wide", f"SELECT CAST(query_id AS INTEGER) AS query_id, model_key, rank, round(match_percent,6) AS match_percent, worst_axis FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS rank FROM (SELECT *, {_MATCH2}, {_MEAN2}, {_WORST2} FROM (SELECT *, {_G2} FROM wide, ({_REQ_SQL})))) WHERE rank<=5"))
+def recommend_multi_indexed(t: Tables) -> DataFrame:
+    """The same from cells of profiles whose bounds reach a requirement's best ones."""
+    asked = t.spark.createDataFrame([(i, *need.values()) for i, need in _QUERIES], "query_id int, " + ", ".join(f"need_{a} double" for a in AXES))
+    ranked, _ = M.ProfileIndex.of(t.wide).rank_many(asked, 5)
+    return ranked.select("query_id", "model_key", "rank", r6("match_percent").alias("match_percent"), "worst_axis")
+
+
 @query(sql("long", "SELECT model_key, aspect, round(score,6) AS score, round(raw_score,6) AS raw_score, mentions, round(mean_confidence,6) AS mean_confidence FROM long"))
 def profiles_long(t: Tables) -> DataFrame:
     return t.long.select("model_key", "aspect", r6("score").alias("score"), r6("raw_score").alias("raw_score"), "mentions", r6("mean_confidence").alias("mean_confidence"))

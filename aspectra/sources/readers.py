@@ -98,12 +98,22 @@ def read_sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def read_annotated(spark: SparkSession, path: str, domain: str, split: str) -> DataFrame:
-    """``text####[[term, category, polarity], ...]`` lines with a number by place in their file."""
-    from aspectra.operators.catalog import enumerate_rows
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value, file, line_number): lines numbered from 1 in each file, which is read by byte ranges.
 
-    lines = spark.read.text(path).withColumn("_at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
-    return enumerate_rows(lines, "_at", "line_number").drop("_at").withColumns({"domain": F.lit(domain), "split": F.lit(split)})
+    Lines are numbered within their range, and a prefix sum over a file's ranges, a
+    row each, gives the numbers before it.
+    """
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    inside = F.row_number().over(Window.partitionBy("file", "_start").orderBy("_at"))  # a range has a split's bytes at most
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("file", "_start").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return lines.withColumn("_inside", inside).join(sizes, ["file", "_start"]).select("value", "file", (F.col("_before") + F.col("_inside")).alias("line_number"))
+
+
+def read_annotated(spark: SparkSession, path: str | list[str], domain: str, split: str) -> DataFrame:
+    """``text####[[term, category, polarity], ...]`` lines with their file, and a number by place in it."""
+    return numbered_lines(spark, path).withColumns({"domain": F.lit(domain), "split": F.lit(split)})
 
 
 def load_taxonomy(spark: SparkSession, tables: dict[str, dict[str, str]]) -> DataFrame:

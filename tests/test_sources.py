@@ -93,6 +93,21 @@ def test_annotated_lines_are_numbered(spark, tmp_path):
     assert [(r.value, r.line_number) for r in rows] == [("a####[]", 1), ("b####[]", 2), ("c", 3)]
 
 
+def test_lines_are_numbered_in_each_file(spark, tmp_path):
+    """Two files give two sequences from 1, wherever they are cut."""
+    names = [write(tmp_path / f"{k}.txt", "".join(f"{k}-{i}####[]\n" for i in range(n))) for k, n in (("a", 90), ("b", 1), ("c", 40))]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "101")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = readers.read_annotated(spark, names, "phone", "dev").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len(rows) == 131 and len({r.file for r in rows}) == 3
+    assert all(r.value.split("####")[0].split("-")[1] == str(r.line_number - 1) for r in rows)
+
+
 def test_scoring_resumes_by_key(spark, tmp_path):
     work = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "model_key string, x int")
     score = lambda df: df.where("x <> 3").withColumn("score", F.col("x") * 2)

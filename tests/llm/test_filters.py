@@ -191,3 +191,13 @@ def test_shares_are_those_of_a_dense_solve(spark):
     assert {h for h, s in got.items() if s is not None} == set(want)
     for h, share in want.items():
         assert got[h] == pytest.approx(share, abs=2e-3)
+
+
+def test_repeated_pages_are_judged_alike(spark):
+    """Repeated rows and ids, null ids and more columns: a row each, and equal answers for equal pages."""
+    rows = [(1, "http://a.example.org/es/x", "<a href='http://b.net/'>"), (2, "http://b.net/", None), (None, "http://b.net/", ""), (3, None, "<a href='http://b.net/'>")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows * 3], "page_id long, url string, html string, host string, trust_share int")
+    got = [tuple(r) for r in url_filter.judge(df).collect()]
+    assert len(got) == 12
+    assert {x: got.count(x) for x in set(got)} == dict.fromkeys(set(got), 3)
+    assert {r[0]: r[4] for r in got}[1] == "block"

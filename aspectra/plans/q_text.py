@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from aspectra.constants import ASPECTS, AXES, UNIT_MAX_WORDS, UNIT_MIN_WORDS
 from aspectra.functions import text as X
-from aspectra.functions.scores import hash_uniform, r6
+from aspectra.functions.scores import r6
 from aspectra.operators import analysis as A
 from aspectra.operators import dataset as D
 from aspectra.operators import ml as ML
 from aspectra.operators.quantiles import quantiles
-from aspectra.operators.scoring import register
+from aspectra.operators.scoring import fitted_once
 from aspectra.plans.bindings import U, Tables, sql, uniform
 from aspectra.plans.registry import query
 from aspectra.sources.shared import written
@@ -533,12 +533,20 @@ def _labelled(t: Tables) -> DataFrame:
     return t.texts.select("doc_id", "split", "text", y.alias("y"), *(has(w).cast("int").alias(a) for a, w in _ASPECT_WORDS.items()))
 
 
+def _named(t: Tables, kind: str) -> str:
+    """The name of a model of these tables in this application."""
+    return f"{kind}|{t.spark.sparkContext.applicationId}|{t.sf_dir}"
+
+
+def _polarity(t: Tables) -> ML.LinearModel:
+    return fitted_once(_named(t, "polarity"), lambda: ML.fit_sentiment(_labelled(t).where("split = 'train'").select("text", "y")))
+
+
 @query()
 def sentiment_logreg(t: Tables) -> DataFrame:
     """Three balanced classes by multinomial logistic regression: predictions of the held-out splits."""
-    rows = _labelled(t)
-    model = ML.fit_sentiment(rows.where("split = 'train'").select("text", "y"))
-    return model.predict(rows.where("split <> 'train'").select("doc_id", "y", "text"), "text", "prediction").select("doc_id", "prediction", "y")
+    held_out = _labelled(t).where("split <> 'train'").select("doc_id", "y", "text")
+    return _polarity(t).predict(held_out, "text", "prediction").select("doc_id", "prediction", "y")
 
 
 @query()
@@ -559,7 +567,7 @@ def calibrated_svm(t: Tables) -> DataFrame:
 
 
 def _detector(t: Tables) -> ML.LinearModel:
-    return ML.fit_detector(_labelled(t).where("split = 'train'").select("text", *ASPECTS), list(ASPECTS))
+    return fitted_once(_named(t, "aspects"), lambda: ML.fit_detector(_labelled(t).where("split = 'train'").select("text", *ASPECTS), list(ASPECTS)))
 
 
 @query()
@@ -585,7 +593,6 @@ def detector_tuned(t: Tables) -> DataFrame:
 @query()
 def analyze_with_models(t: Tables) -> DataFrame:
     """The two-stage scorer with fitted models for both stages, by their names, over whole documents."""
-    register("aspects", _detector(t))
-    register("polarity", ML.fit_sentiment(_labelled(t).where("split = 'train'").select("text", "y")))
-    out = A.analyze(_units(t), list(ASPECTS), A.ModelDetector("aspects"), A.ModelClassifier("polarity"))
+    _detector(t), _polarity(t)
+    out = A.analyze(_units(t), list(ASPECTS), A.ModelDetector(_named(t, "aspects")), A.ModelClassifier(_named(t, "polarity")))
     return out.select("review_id", "aspect", "mentions", r6("detection").alias("detection"), r6("score").alias("score"), "polarity")

@@ -12,6 +12,12 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
+def rounded(c: Column | str, places: int) -> Column:
+    """Half up on the binary product, as SQL engines round; ``round`` takes the shortest decimal instead, and halves differ."""
+    scale = 10.0**places
+    return F.round((F.col(c) if isinstance(c, str) else c) * scale) / scale
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is zero."""
     return a / F.nullif(b, F.lit(0.0))

@@ -146,3 +146,30 @@ def test_units_by_table_functions(spark):
 def test_canonical_names(spark, title, brand, name):
     df = spark.createDataFrame([(title, brand)], "t string, b string")
     assert df.select(X.canonical_name(F.col("t"), F.col("b")).alias("v")).first().v == name
+
+
+def test_halves_round_by_the_binary_product(spark):
+    """8.1296875 times a million is a little less than a half: SQL rounds it down, the shortest decimal would go up."""
+    from aspectra.functions.scores import rounded
+
+    got = spark.createDataFrame([(8.1296875,), (5.7390625,), (9.325,), (None,)], "x double").select(rounded("x", 6).alias("x")).collect()
+    assert [r.x for r in got] == [8.129687, 5.739063, 9.325, None]
+
+
+def test_cleaning_skips_only_patterns_that_cannot_match(spark):
+    texts = ["a  b", " x\u00a0\ty ", "see WWW.a.b now", "HTTPS://q.r/s", "me@x.yz", "READ  MORE", "Read More.", "SEE ALL REVIEWS", "&amp;lt;b&gt;", "“q”…", "a<b>c", "x !!!! y", "", None]
+    import re
+
+    def brute(t):
+        t = t or ""
+        for a, b in X.ENTITIES:
+            t = t.replace(a, b)
+        t = t.translate(str.maketrans(X.FOLD_FROM, X.FOLD_TO)).replace("…", "...").replace("�", "")
+        t = re.sub(X.EMAIL, " [EMAIL] ", re.sub(r"(?i)https?://\S+|www\.\S+", " [URL] ", re.sub(X.TAG, " ", t)))
+        for p in X.BOILERPLATE:
+            t = re.sub(p, " ", t)
+        return re.sub(r"\s+", " ", re.sub(r"([!?.,])\1{2,}", r"\1\1", t)).strip(" ")
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", X.clean_text(F.col("t")).alias("c")).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}

@@ -240,3 +240,26 @@ def test_synthetic_reviews_carry_their_labels(spark):
         cases["dots"] += r.text.endswith("...")
     assert sizes == {1, 2, 3} and polarities == {"positive", "neutral", "negative"}
     assert all(10 < n < 150 for n in cases.values())
+
+
+def test_the_scorer_makes_its_units_once(spark):
+    """Reviews that no unit is found in are scored as whole texts, without a second pass over the units."""
+    from aspectra.operators import analysis as A
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(unit):
+        made.add(1)
+        return unit
+
+    data = [(i, k, ["the battery", "a price", "nothing"][(i + k) % 3] if i % 4 else "none", f"whole {i} camera" if i % 8 else "whole") for i in range(40) for k in range(3)]
+    raw = spark.createDataFrame(data, "review_id int, position int, unit string, cleaned string")
+    units = raw.withColumn("unit", F.udf(seen)("unit"))
+    words = {"battery": "battery", "price": "price", "camera": "camera"}
+    got = {(r.review_id, r.aspect): r.mentions for r in A.analyze(units, list(words), A.keyword_detector(words), A.keyword_classifier("bad", "good")).collect()}
+    want = {}
+    for i in range(40):
+        said = [a for _, _, u, _ in data[3 * i : 3 * i + 3] for a in words if a in u]
+        for a in said or (["camera"] if i % 8 else ["battery"]):
+            want[i, a] = want.get((i, a), 0) + 1
+    assert got == want and made.value == len(data)

@@ -58,6 +58,12 @@ class Tables:
         p = self.raw("part").select(F.col("p_partkey").cast("string").alias("model_key"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 10 == 0).cast("int").alias("simulated"))
         return p.join(counts, "model_key", "left").withColumn("reviews_total", F.coalesce("reviews_total", F.lit(0).cast("long")))
 
+    @cached_property
+    def named_products(self) -> DataFrame:
+        """Keys and names of the same rows, without their facts, for work that costs far more than a shuffle: dealt over all cores, however few row groups hold them."""
+        p = self.raw("part").select(F.col("p_partkey").cast("string").alias("model_key"), F.col("p_name").alias("name"))
+        return p.repartition(4 * max(self.spark.sparkContext.defaultParallelism, p.rdd.getNumPartitions()))
+
     @cached_property
     def listings(self) -> DataFrame:
         p = self.raw("part")

@@ -484,7 +484,7 @@ def synthetic_reviews(t: Tables) -> DataFrame:
     """Review texts from templates, drawn by hashes of product and number."""
     from aspectra.operators.synthetic import reviews
 
-    return reviews(t.products.select("model_key", "name"), 3)
+    return reviews(t.named_products, 3)
 
 
 _WORD_TERMS = f"SELECT {{id}} AS id, unnest(list_concat(w, list_transform(range(1,len(w)), lambda i: w[i]||' '||w[i+1]))) AS t FROM (SELECT {{id}}, regexp_extract_all(lower(text),'{ML.WORD}') AS w FROM {{table}})".replace("{2,}", "{{2,}}").replace("\\p{L}", "\\p{{L}}").replace("\\p{N}", "\\p{{N}}")

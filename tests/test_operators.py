@@ -263,3 +263,16 @@ def test_the_scorer_makes_its_units_once(spark):
         for a in said or (["camera"] if i % 8 else ["battery"]):
             want[i, a] = want.get((i, a), 0) + 1
     assert got == want and made.value == len(data)
+
+
+def test_synthetic_reviews_are_made_by_all_cores(spark, tmp_path):
+    """Parts of a single row group are dealt out before the reviews are made."""
+    from aspectra.plans.bindings import Tables
+    from aspectra.plans.q_text import synthetic_reviews
+
+    parts = spark.range(4000).select(F.col("id").alias("p_partkey"), F.lit("a b").alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit(1.0).alias("p_retailprice"))
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([], "event_id long, user_id long, event_type string, value double, props string, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    out = synthetic_reviews(Tables(spark, str(tmp_path)))
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 12000 and len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 12000 / 2

@@ -15,7 +15,7 @@ from aspectra.functions.scores import hash_uniform
 from aspectra.operators.catalog import running_total
 from aspectra.operators.profiles import cell_means
 from aspectra.operators.quantiles import grouped_quantiles
-from aspectra.sources.shared import arrow_map, whole_groups, written
+from aspectra.sources.shared import arrow_map, whole_runs, written
 
 #: Scores of a cell that meet in one task at most, and bits of the random keys by which larger ones are cut.
 LARGE_CELL, BIN_BITS = 100_000, 12
@@ -60,21 +60,32 @@ def _digests(ids: list[str], i: int) -> np.ndarray:
 
 
 def _small_halves(rows: DataFrame, floor: int, repeats: int) -> DataFrame:
-    """(model_key, aspect, i, a, b) of cells that fit into a task: a cell's scores meet once, and are permuted there."""
+    """(model_key, aspect, i, a, b) of cells that fit into a task: a cell's scores meet once, and all cells of a batch are permuted together."""
 
     def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in whole_groups(batches, "cell"):
-            n = cell.num_rows
-            if n < floor:
+        for met in whole_runs(batches, "cell"):
+            names = met.column("cell").combine_chunks().dictionary_encode()  # sorted: codes rise
+            names = names if isinstance(names, pa.DictionaryArray) else names.chunk(0)
+            sizes = np.bincount(names.indices.to_numpy())
+            met = met.filter(pa.array(np.repeat(sizes >= floor, sizes)))
+            sizes = sizes[sizes >= floor]
+            if not len(sizes):
                 continue
-            ids, scores = cell.column("review_id").to_pylist(), cell.column("score").to_numpy()
-            a, b = np.empty(repeats), np.empty(repeats)
+            code, starts, half = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes, sizes // 2
+            cuts = list(zip(starts.tolist(), (starts + half).tolist(), (starts + sizes).tolist()))
+            ids, scores = met.column("review_id").to_pylist(), met.column("score").to_numpy()
+            a, b = np.empty((len(sizes), repeats)), np.empty((len(sizes), repeats))
             for i in range(repeats):
                 keys = _digests(ids, i)
-                order = np.lexsort((keys[:, 1], keys[:, 0]))
-                a[i], b[i] = scores[order[: n // 2]].mean(), scores[order[n // 2 :]].mean()
-            names = [pa.array([cell.column(c)[0].as_py()] * repeats, pa.string()) for c in ("model_key", "aspect")]
-            yield pa.RecordBatch.from_arrays([*names, pa.array(np.arange(repeats, dtype=np.int32)), pa.array(a), pa.array(b)], ["model_key", "aspect", "i", "a", "b"])
+                own = scores[np.lexsort((keys[:, 1], keys[:, 0], code))]
+                a[:, i] = [np.add.reduce(own[first:middle]) for first, middle, _ in cuts]  # pairwise sums, as of each cell alone
+                b[:, i] = [np.add.reduce(own[middle:last]) for _, middle, last in cuts]
+            with np.errstate(invalid="ignore"):
+                a, b = a / half[:, None], b / (sizes - half)[:, None]
+            at = pa.array(np.repeat(starts, repeats))
+            cells = met.select(["model_key", "aspect"]).take(at).combine_chunks()
+            out = [*(pa.concat_arrays(c.chunks) for c in cells.columns), pa.array(np.tile(np.arange(repeats, dtype=np.int32), len(sizes))), pa.array(a.ravel()), pa.array(b.ravel())]
+            yield pa.RecordBatch.from_arrays(out, ["model_key", "aspect", "i", "a", "b"])
 
     keyed = rows.withColumn("cell", F.concat_ws("\x1f", "model_key", "aspect")).repartition("cell").sortWithinPartitions("cell")
     return arrow_map(keyed, halve, HALVES)

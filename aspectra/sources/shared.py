@@ -77,6 +77,26 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The same rows with many whole groups in a table: about a batch, but never a part of a group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        changes = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if held and held[-1].column(held[-1].schema.get_field_index(key))[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        last = int(changes[-1]) if len(changes) else 0
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def binary_of(values: np.ndarray, bounds: np.ndarray) -> pa.BinaryArray:
     """A binary array whose items are the bytes of ``values`` between ``bounds``, without a copy of each."""
     size = values.dtype.itemsize

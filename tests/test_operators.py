@@ -276,3 +276,19 @@ def test_synthetic_reviews_are_made_by_all_cores(spark, tmp_path):
     out = synthetic_reviews(Tables(spark, str(tmp_path)))
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 12000 and len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 12000 / 2
+
+
+def test_cells_are_halved_many_at_a_time_and_none_is_cut():
+    """Tables of whole groups: far fewer than groups, whatever the batches."""
+    import pyarrow as pa
+
+    from aspectra.sources.shared import whole_runs
+
+    keys = [f"k{i // 3:04d}" for i in range(900)]
+    rows = pa.table({"cell": keys, "n": list(range(900))})
+    for size in (1, 2, 100, 900):
+        parts = list(whole_runs(iter(rows.to_batches(max_chunksize=size)), "cell"))
+        assert pa.concat_tables(parts).to_pydict() == rows.to_pydict()
+        ends = [(p.column("cell")[0].as_py(), p.column("cell")[-1].as_py()) for p in parts]
+        assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+        assert size < 100 or len(parts) <= 2 * 900 // size

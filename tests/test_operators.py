@@ -292,3 +292,20 @@ def test_cells_are_halved_many_at_a_time_and_none_is_cut():
         ends = [(p.column("cell")[0].as_py(), p.column("cell")[-1].as_py()) for p in parts]
         assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
         assert size < 100 or len(parts) <= 2 * 900 // size
+
+
+def test_bootstrap_rows_are_dealt_over_all_cores(spark, monkeypatch):
+    """Rows of a single partition are weighed by every core, and the sums are the same."""
+    df = spark.range(300).select("id", (F.col("id") % 3).alias("x")).coalesce(1)
+    seen = []
+    own = evaluation.arrow_map
+
+    def watched(rows, *more):
+        seen.append(rows.rdd.getNumPartitions())
+        return own(rows, *more)
+
+    monkeypatch.setattr(evaluation, "arrow_map", watched)
+    got = evaluation.bootstrap_sums(df, "id", [F.col("x")], draws=7).collect()
+    assert seen == [max(seen[0], spark.sparkContext.defaultParallelism)]
+    again = evaluation.bootstrap_sums(df.repartition(3), "id", [F.col("x")], draws=7).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
